@@ -96,3 +96,18 @@ def pieces_by_size(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[p
         yield batch.slice(start)
 
 
+
+
+class OncePerTask:
+    """A value that is built on first use where it is needed and never pickled."""
+
+    def __init__(self, build: Callable[[], object]):
+        self.build = build
+
+    def __call__(self):
+        if "value" not in self.__dict__:
+            self.value = self.build()
+        return self.value
+
+    def __getstate__(self) -> dict:
+        return {"build": self.build}

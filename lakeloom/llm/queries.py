@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, sql
+from . import quality_rules, secret_scan, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +28,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op9_quality_rules"] = sql.OP9
+
+
+@_query
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret in every text, the base kinds counted and digested."""
+    return secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
