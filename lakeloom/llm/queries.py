@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, secret_scan, sql
+from . import quality_rules, secret_scan, sql, token_files
+from .common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +22,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids, written in shuffled byte planes and digested from the files."""
+    path = new_folder(spark, "ids")
+    token_files.write(_table(spark, sf_dir, "documents"), path)
+    return token_files.read_digests(spark, path)
+
+
 @_query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and the verdict with its host's."""
