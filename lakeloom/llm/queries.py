@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, secret_scan, sql, token_files
+from . import ngram_join, quality_rules, secret_scan, sql, token_files
 from .common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,15 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(spark, path)
 
 
+@_query
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose three-word shingle sets have a Jaccard similarity of 0.9 or more."""
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), 3, 90)
+
+
+ORACLES["op6_ngram_join"] = sql.OP6
+
+
 @_query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and the verdict with its host's."""

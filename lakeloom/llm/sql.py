@@ -29,3 +29,23 @@ hv AS (SELECT source, (f + m * k) / (n + k) <= {rules.HOST_LIMIT} AS ok FROM h,
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept
 FROM j JOIN hv ON j.source IS NOT DISTINCT FROM hv.source
 """
+
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def jaccard_components(source: str, width: int, percent: int) -> str:
+    """CTEs (to follow WITH RECURSIVE) that end in labels(doc_id, n_shingles, component_id) of a table with doc_id, text."""
+    return rf"""
+jw AS (SELECT doc_id, {_WORDS.format(text=_FOLDED)} AS ws FROM {source}),
+js AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {width} THEN [array_to_string(ws, ' ')]
+       ELSE list_transform(range(1, len(ws) - {width - 2}), lambda i: array_to_string(ws[i : i + {width - 1}], ' ')) END) AS sh FROM jw)),
+jn AS (SELECT doc_id, count(*) AS n FROM js GROUP BY doc_id),
+jp AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM js a JOIN js b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+jl AS (SELECT x, y FROM jp JOIN jn p ON x = p.doc_id JOIN jn q ON y = q.doc_id WHERE 100 * shared >= {percent} * (p.n + q.n - shared)),
+je AS (SELECT x, y FROM jl UNION SELECT y, x FROM jl),
+reach(x, y) AS (SELECT doc_id, doc_id FROM {source} UNION SELECT r.x, e.y FROM reach r JOIN je e ON r.y = e.x),
+jc AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x),
+labels AS (SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM {source} d LEFT JOIN jn USING (doc_id) JOIN jc USING (doc_id))"""
+
+
+OP6 = f"WITH RECURSIVE {jaccard_components('documents', 3, 90)} SELECT * FROM labels"
