@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, quality_rules, secret_scan, sql, token_files
+from . import embedding_pairs, ngram_join, quality_rules, secret_scan, sql, token_files
 from .common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,12 @@ ORACLES["op9_quality_rules"] = sql.OP9
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every secret in every text, the base kinds counted and digested."""
     return secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings by cosine >= 0.9."""
+    return embedding_pairs.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.9)
+
+
+ORACLES["op10_embedding_pairs"] = sql.OP10

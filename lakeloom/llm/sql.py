@@ -49,3 +49,16 @@ labels AS (SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, compon
 
 
 OP6 = f"WITH RECURSIVE {jaccard_components('documents', 3, 90)} SELECT * FROM labels"
+
+OP10 = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
+       coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS ok FROM embeddings),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e)
+      WHERE a.ok AND b.ok AND list_cosine_similarity(a.e, b.e) >= 0.9),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM e GROUP BY x)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON vec_id = c.x LEFT JOIN n ON vec_id = n.x
+"""
