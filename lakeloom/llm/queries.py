@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_pairs, ngram_join, quality_rules, secret_scan, sql, token_files
+from . import embedding_pairs, ngram_join, quality_classifier, quality_rules, secret_scan, sql, token_files
 from .common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,12 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op6_ngram_join"] = sql.OP6
 
 
+@_query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score by a scorer trained on weak labels, and whether it is kept."""
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and the verdict with its host's."""
