@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_pairs, ngram_join, quality_classifier, quality_rules, secret_scan, sql, token_files
+from . import best_fit, embedding_pairs, ngram_join, quality_classifier, quality_rules, secret_scan, sql, token_files
 from .common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op9_quality_rules"] = sql.OP9
 
 
+@_query
+def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in bins of 1024, 2048 and 4096 tokens."""
+    return best_fit.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every secret in every text, the base kinds counted and digested."""
