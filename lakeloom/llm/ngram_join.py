@@ -169,3 +169,14 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
         rows.join(labels, rows.doc_id == labels.node, "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     )
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each component of similar documents: the one of the smallest doc_id.
+
+    All columns stay as they were. Rows of one doc_id stay or go together.
+    """
+    found = jaccard_components(docs, width, percent, doc_id, text)
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, docs[doc_id] == F.col("__gone"), "left_anti")
