@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, embedding_pairs, ngram_join, quality_classifier, quality_rules, secret_scan, sql, token_files
+from . import best_fit, embedding_pairs, ngram_join, preferences, quality_classifier, quality_rules, secret_scan, sql, token_files
 from .common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,16 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation against itself with the next conversation's last reply."""
+    turns = _table(spark, sf_dir, "conversations")
+    return preferences.format_preferences(turns, preferences.with_borrowed_replies(turns)).withColumnRenamed("pair", "conv_id")
+
+
+ORACLES["op8_preferences"] = sql.OP8
+
+
 @_query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and the verdict with its host's."""
