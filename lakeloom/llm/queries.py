@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, embedding_pairs, ngram_join, preferences, quality_classifier, quality_rules, secret_scan, sql, token_files
+from . import best_fit, embedding_pairs, ngram_join, preferences, quality_classifier, quality_rules, secret_scan, sql, surrogates, token_files
 from .common import new_folder
 
+#: The registered query's key; a real job passes a secret one.
+SURROGATE_KEY = "lakeloom example key"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -30,6 +33,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(spark, path)
 
 
+@_query
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its personal data replaced by keyed surrogates."""
+    return surrogates.replace_entities(_table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 @_query
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose three-word shingle sets have a Jaccard similarity of 0.9 or more."""
