@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, embedding_pairs, ngram_join, preferences, quality_classifier, quality_rules, secret_scan, sql, surrogates, token_files
+from . import best_fit, embedding_pairs, ngram_join, piece_sampling, preferences, quality_classifier, quality_rules, secret_scan, sql, surrogates, token_files
 from .common import new_folder
 
 #: The registered query's key; a real job passes a secret one.
@@ -33,6 +33,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(spark, path)
 
 
+@_query
+def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of every text, digested, and whether decoding gives the text back."""
+    return piece_sampling.digests(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with its personal data replaced by keyed surrogates."""
