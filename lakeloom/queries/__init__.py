@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .registry import ORACLES, QUERIES
-from . import core  # noqa: F401
+from . import changes, core, functions, programs, relational  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
