@@ -33,7 +33,7 @@ def translate(sql: str) -> str:
         text = re.sub(r"\bextract\s*\(\s*(\w+)\s+from\b", extracted, text, flags=re.I)
         text = re.sub(r"\bdate_trunc\s*\(", "date_trunc_text(", text, flags=re.I)
         text = re.sub(r"\bnow\s*\(\s*\)", "now_text()", text, flags=re.I)
-        return re.sub(r"\bsubstr(?:ing)?\s*\(", "substr_compat(", text, flags=re.I) if re.search(r"\bsubstr(?:ing)?\s*\([^()]*,\s*0\s*[,)]", text, re.I) else text
+        return re.sub(r"\bsubstr(?:ing)?\s*\(", "substr_compat(", text, flags=re.I)
 
     if m := re.search(r"\bdate_trunc\s*\(\s*'(\w+)'", sql, re.I):
         if m[1].lower() not in TRUNC_PARTS:
@@ -47,7 +47,7 @@ def register_functions(spark: SparkSession) -> None:
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION epoch_of(at TIMESTAMP) RETURNS BIGINT RETURN unix_timestamp(at)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION date_trunc_text(part STRING, at TIMESTAMP) RETURNS STRING RETURN date_format(date_trunc(part, at), 'yyyy-MM-dd HH:mm:ss')")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION now_text() RETURNS STRING RETURN date_format(current_timestamp(), 'yyyy-MM-dd HH:mm:ss')")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION substr_compat(s STRING, start INT, n INT) RETURNS STRING RETURN IF(start = 0, substring(s, 1, greatest(n - 1, 0)), substring(s, start, n))")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION substr_compat(s STRING, start INT, n INT DEFAULT 2147483647) RETURNS STRING RETURN IF(start = 0, substring(s, 1, greatest(n - 1, 0)), substring(s, start, n))")
 
 
 def query(spark: SparkSession, sql: str, params: list | None = None, **tables: DataFrame) -> DataFrame:
