@@ -3,10 +3,14 @@
 1. Routing. Two sets that reach the similarity differ in few tokens. Hash
    space is cut into more ranges than that, so at least one range holds the
    same tokens in both: every set is routed by (size class, range, digest of
-   the range's tokens). Sets that share a passage but differ elsewhere meet
-   nowhere. Each map batch ships one row per route and links its own repeats
-   on the spot, which keeps a hot route to a row per batch.
-2. Subtrees. Components of the routes' stars hold every similar pair within.
+   the range's tokens). A first pass finds the routes that two sets take; a
+   map task ships each of its routes once, sorted and compressed, so a hot
+   route is a row per task. A second pass gathers the sets on those routes,
+   each with its size and a parity sketch, whose differing bits bound the
+   differing tokens from below and keep apart sets that share a passage only.
+   What the first pass found reaches the second as a filter of fixed size.
+   A route over a bound of sets is cut into chunks, each pair a task.
+2. Subtrees. Components of what the sketches admit hold every similar pair.
    A component over a bound of sets or bytes is cut into chunks, and every
    pair of its chunks is a task of its own, so no task grows with a group.
 3. Signature trees. In each task nodes with OR-combined token bitmaps and size
@@ -26,20 +30,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces_by_size, small_batches, stored, text_of
 from .components import components
 from .shingles import mix, shingle_sets
-from .signature_tree import link
+from .signature_tree import Forest, link
 
 #: Bytes of text handled at once.
 BLOCK_BYTES = 1 << 21
 #: Sets, and bytes of sets, of one side of a tree join.
 CHUNK_SETS, CHUNK_BYTES = 2048, 16 << 20
-#: Ranges beyond the most differing tokens; sets with fewer empty ranges than this skip those.
-SPARE_RANGES = 3
+#: Least bits of the parity sketches that keep documents on one route apart.
+LEAST_SKETCH_BITS = 512
+#: Route keys of a part that is searched for repeats at once, and keys a map task gathers before it ships them.
+PART_KEYS, SHIP_KEYS = 1 << 20, 1 << 21
+#: Bits, as a power of two, of the filter that admits routes of two sets or more: 16 MB, whatever the data.
+FILTER_BITS = 27
+#: Rows of small routes that share a task.
+TASK_ROWS = 1 << 16
 #: Most rows of a doc_id list that is broadcast, 16 bytes each; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -54,20 +65,25 @@ def class_bounds(percent: int, most: int) -> np.ndarray:
 
 def routes(tokens: np.ndarray, percent: int, bounds: np.ndarray) -> np.ndarray:
     """The route keys of one sorted token set."""
-    out = []
-    own = int(np.searchsorted(bounds, len(tokens), side="right")) - 1
+    out, n = [], len(tokens)
+    own = int(np.searchsorted(bounds, n, side="right")) - 1
     scrambled = mix(tokens)
     for group in (own, own + 1):
-        # Sets of this group's pairs have at most top tokens; their difference is at most (a + b)(100 - p)/(100 + p).
+        # Sets of this group's pairs have at most top tokens; sets a and b differ in (a + b)(100 - p)/(100 + p) at most.
         top = int(bounds[group + 1]) - 1
-        ranges = 2 * top * (100 - percent) // (100 + percent) + SPARE_RANGES
+        ranges = 2 * top * (100 - percent) // (100 + percent) + 3
         which = ((tokens >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(which, prepend=-1))
         digest, held = np.add.reduceat(scrambled, cuts), which[cuts]
-        if ranges - len(held) >= SPARE_RANGES:
+        # This set and a partner differ in `most` ranges at most, and agree on no more empty ones than it has:
+        # of any most + empty + 1 ranges one is held alike. Both sides take the first ones.
+        most = (n + min(top, 100 * n // percent)) * (100 - percent) // (100 + percent)
+        first = most + ranges - len(held) + 1
+        if first > ranges:
             empty = np.setdiff1d(np.arange(ranges), held, assume_unique=True)
             held, digest = np.concatenate([held, empty]), np.concatenate([digest, np.zeros(len(empty), np.uint64)])
-        out.append(mix(digest + mix(np.uint64(group) << np.uint64(40) | held.astype(np.uint64))))
+        taken = held < first
+        out.append(mix(digest[taken] + mix(np.uint64(group) << np.uint64(40) | held[taken].astype(np.uint64))))
     return np.concatenate(out).astype(np.int64)
 
 
@@ -82,6 +98,183 @@ def _digest(tokens: np.ndarray) -> bytes | None:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
 
 
+def _routed(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
+    bounds = class_bounds(percent, 2 * max(map(len, sets), default=1))
+    return [routes(s, percent, bounds) if len(s) else np.empty(0, np.int64) for s in sets]
+
+
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """Bits that say whether an odd number of tokens falls on them: two sketches differ in no more bits than sets in tokens.
+
+    There are as many bits as tokens, rounded up to a power of two; the two
+    halves of a sketch, folded by exclusive or, are the sketch of half the bits.
+    """
+    bits = max(LEAST_SKETCH_BITS, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else LEAST_SKETCH_BITS
+    return np.packbits((np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.uint64)
+
+
+class Sketches:
+    """Sketches of several lengths; sets on one route differ by one doubling at most."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.length = np.array([len(b) for b in blobs], np.int64)
+        self.table: dict[int, np.ndarray] = {}
+        self.row: dict[int, np.ndarray] = {}
+        for size in np.unique(self.length).tolist():
+            own, double = np.flatnonzero(self.length == size), np.flatnonzero(self.length == 2 * size)
+            rows = [np.frombuffer(b"".join([blobs[k] for k in own]), np.uint64).reshape(len(own), -1)]
+            if len(double):
+                long = np.frombuffer(b"".join([blobs[k] for k in double]), np.uint64).reshape(len(double), 2, -1)
+                rows.append(long[:, 0] ^ long[:, 1])
+            self.table[size] = np.concatenate(rows)
+            self.row[size] = np.full(len(blobs), -1, np.int64)
+            self.row[size][np.concatenate([own, double])] = np.arange(len(own) + len(double))
+
+    def of(self, at: np.ndarray, size: int) -> np.ndarray:
+        """The sketches at these places, folded to size bytes."""
+        return self.table[size][self.row[size][at]]
+
+
+def compatible(n_a, sketch_a, n_b, sketch_b, percent: int) -> np.ndarray:
+    """False only where sizes or sketches show that sets can't reach the similarity; shapes broadcast."""
+    differing = np.bitwise_count(sketch_a ^ sketch_b).sum(-1, dtype=np.int64)
+    return (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & ((100 + percent) * differing <= (100 - percent) * (n_a + n_b))
+
+
+def _connect(forest: Forest, members: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int, side: np.ndarray | None = None) -> None:
+    """Join members of one route that compatible pairs connect; with side only pairs across sides count.
+
+    Pairs connected already aren't compared: what stands outside the largest
+    component is compared with everything.
+    """
+    root = forest.roots(members)
+    known, at, size = np.unique(root, return_inverse=True, return_counts=True)
+    if len(known) == 1:
+        return
+    apart = np.flatnonzero(at != size.argmax())
+    for k in range(0, len(apart), 256):
+        rows = apart[k : k + 256]
+        fits = (root[rows, None] != root[None]) & compatible(n[rows, None], sketch[rows, None], n[None], sketch[None], percent)
+        if side is not None:
+            fits &= side[rows, None] != side[None]
+        for i in np.flatnonzero(fits.any(1)).tolist():
+            for other in np.unique(root[fits[i]]).tolist():
+                forest.join(int(root[rows[i]]), other)
+
+
+def _meetings(df: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """src, dst: stars over documents that meet on a route and that sketches don't keep apart."""
+    spark = df.sparkSession
+    df = df.where("doc_id IS NOT NULL")
+    total = rows.agg(F.sum("n_shingles").alias("n"), F.count("*").alias("c")).first()
+    expected = 5 * (total.n or 0) * (100 - percent) // (100 + percent) + 8 * total.c
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-expected // PART_KEYS))
+
+    def ship(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """One row for each part that keys fall into: sorted keys, and which of them came twice here."""
+        keys, count = np.unique(keys.view(np.uint64), return_counts=True)
+        part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        step = np.diff(keys, prepend=np.uint64(0))
+        blobs, twice = [], []
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
+            first = step[a:b].copy()
+            first[0] = keys[a]
+            blobs.append(squeeze(np.ascontiguousarray(first.view(np.uint8).reshape(-1, 8).T).tobytes()))
+            twice.append(np.packbits(count[a:b] > 1).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int32()), pa.array(blobs, pa.binary()), pa.array(twice, pa.binary()), pa.array(np.diff([*cuts, len(keys)]), pa.int32())], names=["part", "keys", "twice", "n"])
+
+    def keys_of(batches):
+        held, n = [], 0
+        for _, sets in _blocks(batches, width):
+            held += _routed(sets, percent)
+            n += sum(map(len, held[-len(sets) :]))
+            if n >= SHIP_KEYS:
+                yield from ship(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            yield from ship(np.concatenate(held))
+
+    def repeated(table: pa.Table) -> pa.Table:
+        expand = zstandard.ZstdDecompressor().decompress
+        seen, twice = [], []
+        for blob, flags, n in zip(*(table.column(c).to_pylist() for c in ("keys", "twice", "n")), strict=True):
+            keys = np.cumsum(np.ascontiguousarray(np.frombuffer(expand(blob), np.uint8).reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
+            seen.append(keys)
+            twice.append(keys[np.unpackbits(np.frombuffer(flags, np.uint8), count=n).astype(bool)])
+        keys, count = np.unique(np.concatenate(seen), return_counts=True)
+        at = np.unique(np.union1d(keys[count > 1], np.concatenate(twice)) >> np.uint64(64 - FILTER_BITS))
+        first = int(at[0] >> np.uint64(3)) if len(at) else 0
+        slice_ = np.zeros(int(at[-1] >> np.uint64(3)) - first + 1 if len(at) else 0, np.uint8)
+        np.bitwise_or.at(slice_, (at >> np.uint64(3)).astype(np.int64) - first, (1 << (at & np.uint64(7)).astype(np.int64)).astype(np.uint8))
+        return pa.table({"first": pa.array([first], pa.int64()), "bits": pa.array([slice_.tobytes()], pa.binary())})
+
+    # A part's keys are a stretch of hash space, so its bits are a stretch of the filter, whose size is fixed.
+    table = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    slices = df.mapInArrow(keys_of, "part int, keys binary, twice binary, n int").groupBy("part").applyInArrow(repeated, "first long, bits binary")
+    for r in stored(slices, "filter").toLocalIterator():
+        table[r.first : r.first + len(r.bits)] |= np.frombuffer(r.bits, np.uint8)
+    admitted = spark.sparkContext.broadcast(table.tobytes())
+    del table
+
+    def members(batches):
+        bits = np.frombuffer(admitted.value, np.uint8)
+        for piece, sets in _blocks(batches, width):
+            found = []
+            for keys in _routed(sets, percent):
+                at = keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+                found.append(keys[(bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0])
+            take = pa.array(np.repeat(np.arange(len(sets)), [len(k) for k in found]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), piece.column(0).take(take)], names=["key", "doc_id"])
+
+    on_routes = stored(df.mapInArrow(members, "key long, doc_id long"), "routes")
+    # Of routes with equal members one is enough: sums over members tell them apart, combined before they are shuffled.
+    taken = on_routes.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("x")).where("m > 1")
+    one_each = stored(taken.groupBy("m", "s", "x").agg(F.min("key").alias("k")).select("k"), "kept")
+    met = on_routes.join(one_each, F.col("key") == F.col("k"), "left_semi")
+    described = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), "sketch")
+    met = stored(met.join(described, F.col("doc_id") == F.col("d")).select("key", "doc_id", "n", "sketch"), "met")
+    large = met.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("m")).where(F.col("m") > CHUNK_SETS)
+    large = stored(large.select("k", F.ceil(F.col("m") / CHUNK_SETS).cast("int").alias("chunks")), "large")
+    # Many small routes share a task; a large one is cut, and each pair of its chunks is a task.
+    tasks = max(1, -(-met.count() // TASK_ROWS))
+    met = met.join(large, F.col("key") == F.col("k"), "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("chunks")), F.lit(0)).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)) - 1)))
+    met = met.select(
+        "key", "doc_id", "n", "sketch", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
+        F.when(F.col("chunks").isNull(), F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other"))).alias("task"),
+    )
+
+    def stars(table: pa.Table) -> pa.Table:
+        key, ids, n, chunk, i, j = (table.column(c).to_numpy() for c in ("key", "doc_id", "n", "chunk", "i", "j"))
+        sketch = Sketches(table.column("sketch").to_pylist())
+        # One forest for all routes here: what one has connected the next needn't compare.
+        nodes, place = np.unique(ids, return_inverse=True)
+        forest = Forest(len(nodes))
+        order = np.lexsort((ids, j, i, key))
+        new = (np.diff(key[order], prepend=0) != 0) | (np.diff(i[order], prepend=-1) != 0) | (np.diff(j[order], prepend=-1) != 0)
+        new[:1] = True
+        cuts = np.flatnonzero(new)
+        size = np.diff([*cuts, len(order)])
+        for g in sorted(np.flatnonzero(size > 2).tolist(), key=lambda g: -size[g]):
+            some = order[cuts[g] : cuts[g] + size[g]]
+            _connect(forest, place[some], n[some], sketch.of(some, int(sketch.length[some].min())), percent, None if i[some[0]] == j[some[0]] else chunk[some])
+        # Routes of two at once.
+        a, b = order[cuts[size == 2]], order[cuts[size == 2] + 1]
+        shorter = np.minimum(sketch.length[a], sketch.length[b])
+        for length in np.unique(shorter).tolist():
+            x, y = a[shorter == length], b[shorter == length]
+            fits = compatible(n[x], sketch.of(x, length), n[y], sketch.of(y, length), percent) & ((i[x] == j[x]) | (chunk[x] != chunk[y]))
+            for u, v in zip(place[x[fits]].tolist(), place[y[fits]].tolist(), strict=True):
+                forest.join(u, v)
+        roots = forest.flat()
+        at = np.flatnonzero(roots != np.arange(len(nodes)))
+        return pa.table({"src": nodes[roots[at]], "dst": nodes[at]})
+
+    return met.groupBy("task").applyInArrow(stars, "src long, dst long").where("src <> dst").distinct()
+
+
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs.
 
@@ -94,40 +287,13 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
 
     def describe(batches):
         for piece, sets in _blocks(batches, width):
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary())], names=["doc_id", "n_shingles", "digest"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([parity_sketch(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "n_shingles", "digest", "sketch"])
 
-    rows = stored(df.mapInArrow(describe, "doc_id long, n_shingles long, digest binary"), "sets")
+    rows = stored(df.mapInArrow(describe, "doc_id long, n_shingles long, digest binary, sketch binary"), "sets")
     # Copies of a set: the smallest doc_id stands for them.
     firsts = stored(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "firsts")
 
-    def route(batches):
-        bounds = class_bounds(percent, 1 << 20)
-        for piece, sets in _blocks(batches, width):
-            ids = np.array(piece.column(0).to_pylist(), np.int64)
-            some = [i for i, s in enumerate(sets) if len(s)]
-            if not some:
-                continue
-            if max(map(len, sets)) >= bounds[-3]:
-                bounds = class_bounds(percent, 4 * max(map(len, sets)))
-            found = [routes(sets[i], percent, bounds) for i in some]
-            key, doc = np.concatenate(found), np.repeat(ids[some], [len(f) for f in found])
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            new = np.diff(key, prepend=key[0] - 1) != 0
-            first = doc[new][np.cumsum(new) - 1]
-            pair = np.unique(np.stack([first, doc], 1)[first != doc], axis=0)
-            # Route rows have a key; rows without one are links between documents of this batch.
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([key[new], np.zeros(len(pair), np.int64)]), mask=np.arange(new.sum() + len(pair)) >= new.sum()), pa.array(np.concatenate([doc[new], pair[:, 1]])), pa.array(np.concatenate([np.zeros(new.sum(), np.int64), pair[:, 0]]))],
-                names=["key", "dst", "src"],
-            )
-
-    routed = df.where("doc_id IS NOT NULL").mapInArrow(route, "key long, dst long, src long")
-    # One pass over texts feeds both kinds: rows with a null key are spread by their document instead.
-    meets = routed.withColumn("by", F.coalesce("key", F.xxhash64("dst"))).selectExpr(
-        "key", "dst", "CASE WHEN key IS NULL THEN src ELSE min(dst) OVER (PARTITION BY by, key IS NULL) END AS src"
-    )
-    pairs = stored(meets.where("src <> dst").select("src", "dst").distinct(), "meets")
+    pairs = stored(_meetings(df, rows, width, percent), "meets")
     copied = firsts.where("copies > 1").select(F.col("digest").alias("d"), "first")
     copies = rows.where("doc_id IS NOT NULL").join(copied, F.col("digest") == F.col("d")).where("doc_id <> first").select("first", "doc_id").distinct()
     # Copies need no comparison: only sets' first documents take part in the trees.

@@ -27,6 +27,13 @@ class Forest:
         a, b = self.root(a), self.root(b)
         self.parent[max(a, b)] = min(a, b)
 
+    def roots(self, members: np.ndarray) -> np.ndarray:
+        """The root of each member."""
+        at = self.parent[members]
+        while not np.array_equal(up := self.parent[at], at):
+            at = up
+        return at
+
     def flat(self) -> np.ndarray:
         while not np.array_equal(up := self.parent[self.parent], self.parent):
             self.parent = up
