@@ -90,22 +90,32 @@ def host_verdicts(stats: DataFrame, host: str, limit: float = HOST_LIMIT) -> Dat
     The prior's mean is the share of failures over all documents; its weight
     follows from the variance between hosts by the method of moments.
     """
-    by_host = stats.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+    by_host = stored(stats.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")), "hosts")
     rate = F.col("failed") / F.col("n")
-    sums = by_host.agg(
-        F.sum("n").alias("all_n"), F.sum("failed").alias("all_failed"), F.count("*").alias("hosts"),
-        F.sum(F.col("n").cast("double") * rate * rate).alias("sq"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"),
-    )
-    mean = F.col("all_failed") / F.col("all_n")
-    # Between-host variance: the weighted spread of rates less what binomial chance explains.
-    spread = F.col("sq") - F.col("all_n") * mean * mean - (F.col("hosts") - 1) * mean * (1 - mean)
-    between = spread / F.nullif(F.col("all_n") - F.col("nn") / F.col("all_n"), F.lit(0.0))
-    weight = F.when(between > 0, F.least(F.lit(MAX_PRIOR_WEIGHT), F.greatest(F.lit(1.0), mean * (1 - mean) / between - 1))).otherwise(F.lit(MAX_PRIOR_WEIGHT))
-    prior = sums.select(mean.alias("mean"), weight.alias("weight"))
-    # One row: its size is bounded by construction.
-    return by_host.crossJoin(F.broadcast(prior)).select(
-        "host", "n", "failed", ((F.col("failed") + F.col("mean") * F.col("weight")) / (F.col("n") + F.col("weight"))).alias("rate")
-    ).withColumn("host_kept", F.col("rate") <= limit)
+    # Five sums over all hosts are all that reaches the driver.
+    s = by_host.agg(
+        F.sum("n").alias("n"), F.sum("failed").alias("failed"), F.count("*").alias("hosts"),
+        F.sum(F.col("n").cast("double") * rate * rate).alias("squares"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"),
+    ).first()
+    mean, weight = beta_prior(s.n or 0, s.failed or 0, s.hosts, s.squares or 0.0, s.nn or 0.0)
+    shrunk = (F.col("failed") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))
+    return by_host.select("host", "n", "failed", shrunk.alias("rate"), (shrunk <= limit).alias("host_kept"))
+
+
+def beta_prior(n: int, failed: int, hosts: int, squares: float, nn: float) -> tuple[float, float]:
+    """Mean and weight of the prior, by the method of moments.
+
+    squares is the sum of n * rate ** 2 over hosts, nn that of n ** 2. The
+    spread of rates less what binomial chance explains is between hosts.
+    """
+    if not n:
+        return 0.0, MAX_PRIOR_WEIGHT
+    mean = failed / n
+    spread = squares - n * mean * mean - (hosts - 1) * mean * (1 - mean)
+    scale = n - nn / n
+    if scale <= 0 or spread / scale <= 0:
+        return mean, MAX_PRIOR_WEIGHT
+    return mean, min(MAX_PRIOR_WEIGHT, max(1.0, mean * (1 - mean) / (spread / scale) - 1))
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", limit: float = HOST_LIMIT) -> DataFrame:
