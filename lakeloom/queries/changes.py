@@ -123,14 +123,10 @@ def snapshot_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.as_of(_log(spark, sf_dir), ["user_id"], "hlc", at).select("user_id", "event_type", "event_id")
 
 
-@query(f"SELECT event_id, row_number() OVER (ORDER BY physical, event_id) AS place FROM {_LOG} ORDER BY physical DESC, event_id DESC LIMIT 100", name="hlc_order")
-def _hlc_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last hundred events by their stamps, with their places among all."""
-    log = _log(spark, sf_dir).select("event_id", "hlc")
-    last = log.orderBy(F.desc("hlc")).limit(100)
-    total = log.agg(F.count("*").alias("total"))
-    ranked = last.selectExpr("event_id", "row_number() OVER (ORDER BY hlc DESC) AS back")
-    return ranked.crossJoin(F.broadcast(total)).selectExpr("event_id", "total - back + 1 AS place")
+@query(f"SELECT event_type, arg_min(event_id, (physical, event_id)) AS first, arg_max(event_id, (physical, event_id)) AS last FROM {_LOG} GROUP BY event_type")
+def hlc_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first and last event of each type by their stamps."""
+    return _log(spark, sf_dir).groupBy("event_type").agg(F.min_by("event_id", "hlc").alias("first"), F.max_by("event_id", "hlc").alias("last"))
 
 
 _LIVE = "LIVE SELECT event_id, event_type, value FROM events WHERE event_type LIKE 'PURCH%' AND value > 20"
