@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OncePerTask, pieces_by_size, small_batches, text_of
+from .common import OncePerTask, pieces_by_size, small_batches, stored, text_of, trimmed
 from .tokens import Encoder
 
 #: Ids in a full block.
@@ -100,7 +100,7 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
             yield full(n_held)
 
     small_batches(docs.sparkSession)
-    ordered.mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(trimmed(run), schema).write.option("compression", "uncompressed").parquet(path)
 
 
 class DataFrameSchema(OncePerTask):
@@ -172,12 +172,10 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     def joined(found) -> int:
         return crc32_joined([(p["crc"], 4 * p["n"]) for p in found])
 
-    cut = (
-        parts.where("NOT whole").groupBy("shard", "row", "doc_id")
-        .agg(F.sort_array(F.collect_list(F.struct("at", "n", "crc"))).alias("p"))
-        .select("shard", "doc_id", F.col("p")[0]["at"].alias("at"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n"), joined("p").alias("crc"))
-    )
-    every = parts.where("whole").select("shard", "doc_id", "at", "n", "crc").unionByName(cut)
+    # Blocks are decoded once; only rows of numbers go on. Documents that span blocks are joined from their parts.
+    held = parts.groupBy("shard", "row", "doc_id").agg(F.min("at").alias("at"), F.sum("n").alias("n"), F.min("crc").alias("crc"), F.sort_array(F.collect_list(F.when(~F.col("whole"), F.struct("at", "n", "crc")))).alias("p"))
+    held = stored(held, "digests")
+    every = held.where("size(p) = 0").select("shard", "doc_id", "at", "n", "crc").unionByName(held.where("size(p) > 0").select("shard", "doc_id", "at", "n", joined("p").alias("crc")))
     # The shards' sizes, from the index alone; a row for each write task, which bounds what is broadcast.
     sizes = blocks.groupBy(F.col("shard").alias("s")).agg(F.sum(F.col("n_ids").cast("long")).alias("ids"))
     before = sizes.selectExpr("s", "sum(ids) OVER (ORDER BY s) - ids AS base")

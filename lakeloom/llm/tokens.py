@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-#: Encoded pieces that a task keeps; beyond it starts anew.
+#: Encoded pieces that a task keeps, in two generations; those not used for a while go.
 CACHE_PIECES = 600_000
 #: Longest piece that is kept.
 CACHE_CHARS = 64
@@ -24,6 +24,17 @@ JOINED_PIECES = 2000
 _UNSAFE = re.compile(r" [\s\x1c-\x1f\x85]|[\s\x1c-\x1f\x85] ")
 
 
+#: White space but space and line feed, and the character that marks cuts.
+_RARES = [c for c in map(chr, range(0x3001)) if c not in " \n" and (c.isspace() or c in "\0\x1c\x1d\x1e\x1f\x85")]
+
+
+def _unsafe(text: str) -> bool:
+    """Whether some space has white space beside it, or the text holds the character that marks cuts."""
+    if "  " in text or " \n" in text or "\n " in text:
+        return True
+    return any(map(text.__contains__, _RARES)) and ("\0" in text or _UNSAFE.search(text) is not None)
+
+
 def default_path() -> str:
     """The public 50k byte-level BPE vocabulary."""
     import public_tokenizers
@@ -45,7 +56,9 @@ class Encoder:
         #: Bytes of text that each id stands for.
         self.id_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.id_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        #: Encoded pieces, those of the last while and those before; what is used again stays.
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -68,17 +81,20 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        if len(self.cache) > CACHE_PIECES:
-            self.cache = {}
+        if len(self.cache) > CACHE_PIECES // 2:
+            self.old, self.cache = self.cache, {}
         cache, out, cut = self.cache, [b""] * len(texts), []
         seen: set[str] = set()
         for i, text in enumerate(texts):
-            if "\0" in text or _UNSAFE.search(text):
+            if _unsafe(text):
                 out[i] = self._encode([text])[0]
             else:
                 cut.append((i, pieces := text.replace(" ", "\0 ").split("\0")))
                 seen.update(pieces)
         fresh = seen.difference(cache)
+        known = fresh.intersection(self.old)
+        cache.update((p, self.old[p]) for p in known)
+        fresh -= known
         # A mark after a letter is always a token's start: such pieces are their stem's ids and the mark's.
         stems = {p: p[:-1] for p in fresh if p[-1:] in (".", ",") and len(p) > 2 and p[-2].isalpha()}
         whole = list((fresh.difference(stems) | set(stems.values()) | {".", ","}).difference(cache))
