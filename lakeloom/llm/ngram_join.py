@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_by_size, small_batches, stored, text_of
+from .common import pieces_by_size, small_batches, stored, text_of, trimmed
 from .components import components
 from .shingles import mix, shingle_sets
 from .signature_tree import Forest, link
@@ -46,7 +46,7 @@ CHUNK_SETS, CHUNK_BYTES = 2048, 16 << 20
 #: Least bits of the parity sketches that keep documents on one route apart.
 LEAST_SKETCH_BITS = 512
 #: Route keys of a part that is searched for repeats at once, and keys a map task gathers before it ships them.
-PART_KEYS, SHIP_KEYS = 1 << 20, 1 << 21
+PART_KEYS, SHIP_KEYS = 1 << 20, 1 << 19
 #: Bits, as a power of two, of the filter that admits routes of two sets or more: 16 MB, whatever the data.
 FILTER_BITS = 27
 #: Rows of small routes that share a task.
@@ -212,7 +212,7 @@ def _meetings(df: DataFrame, rows: DataFrame, width: int, percent: int) -> DataF
 
     # A part's keys are a stretch of hash space, so its bits are a stretch of the filter, whose size is fixed.
     table = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    slices = df.mapInArrow(keys_of, "part int, keys binary, twice binary, n int").groupBy("part").applyInArrow(repeated, "first long, bits binary")
+    slices = df.mapInArrow(trimmed(keys_of), "part int, keys binary, twice binary, n int").groupBy("part").applyInArrow(repeated, "first long, bits binary")
     for r in stored(slices, "filter").toLocalIterator():
         table[r.first : r.first + len(r.bits)] |= np.frombuffer(r.bits, np.uint8)
     admitted = spark.sparkContext.broadcast(table.tobytes())
@@ -228,7 +228,8 @@ def _meetings(df: DataFrame, rows: DataFrame, width: int, percent: int) -> DataF
             take = pa.array(np.repeat(np.arange(len(sets)), [len(k) for k in found]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), piece.column(0).take(take)], names=["key", "doc_id"])
 
-    on_routes = stored(df.mapInArrow(members, "key long, doc_id long"), "routes")
+    on_routes = stored(df.mapInArrow(trimmed(members), "key long, doc_id long"), "routes")
+    admitted.destroy()
     # Of routes with equal members one is enough: sums over members tell them apart, combined before they are shuffled.
     taken = on_routes.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("x")).where("m > 1")
     one_each = stored(taken.groupBy("m", "s", "x").agg(F.min("key").alias("k")).select("k"), "kept")
@@ -289,7 +290,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
         for piece, sets in _blocks(batches, width):
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([parity_sketch(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "n_shingles", "digest", "sketch"])
 
-    rows = stored(df.mapInArrow(describe, "doc_id long, n_shingles long, digest binary, sketch binary"), "sets")
+    rows = stored(df.mapInArrow(trimmed(describe), "doc_id long, n_shingles long, digest binary, sketch binary"), "sets")
     # Copies of a set: the smallest doc_id stands for them.
     firsts = stored(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "firsts")
 
@@ -314,7 +315,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
             kept = piece.take(pa.array(held, pa.int64()))
             yield pa.RecordBatch.from_arrays([kept.column(0), *kept.columns[2:], pa.array([sets[i].tobytes() for i in held], pa.binary())], names=["doc_id", "component", "chunks", "chunk", "tokens"])
 
-    sets = texts.mapInArrow(collect_sets, "doc_id long, component long, chunks int, chunk int, tokens binary")
+    sets = texts.mapInArrow(trimmed(collect_sets), "doc_id long, component long, chunks int, chunk int, tokens binary")
     # Chunk c meets every chunk: task (least, greatest); one chunk alone is the task (c, c).
     tasks = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("doc_id", "tokens", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
 
