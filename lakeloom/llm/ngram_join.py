@@ -162,7 +162,7 @@ def _connect(forest: Forest, members: np.ndarray, n: np.ndarray, sketch: np.ndar
                 forest.join(int(root[rows[i]]), other)
 
 
-def _meetings(df: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+def _meetings(df: DataFrame, rows: DataFrame, firsts: DataFrame, width: int, percent: int) -> DataFrame:
     """src, dst: stars over documents that meet on a route and that sketches don't keep apart."""
     spark = df.sparkSession
     df = df.where("doc_id IS NOT NULL")
@@ -234,7 +234,9 @@ def _meetings(df: DataFrame, rows: DataFrame, width: int, percent: int) -> DataF
     taken = on_routes.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("x")).where("m > 1")
     one_each = stored(taken.groupBy("m", "s", "x").agg(F.min("key").alias("k")).select("k"), "kept")
     met = on_routes.join(one_each, F.col("key") == F.col("k"), "left_semi")
-    described = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), "sketch")
+    # Copies are known from their digests: only a set's first document goes on.
+    first = firsts.select(F.col("digest").alias("fd"), "first")
+    described = rows.join(first, (F.col("digest") == F.col("fd")) & (F.col("doc_id") == F.col("first")), "left_semi").select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), "sketch")
     met = stored(met.join(described, F.col("doc_id") == F.col("d")).select("key", "doc_id", "n", "sketch"), "met")
     large = met.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("m")).where(F.col("m") > CHUNK_SETS)
     large = stored(large.select("k", F.ceil(F.col("m") / CHUNK_SETS).cast("int").alias("chunks")), "large")
@@ -294,7 +296,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
     # Copies of a set: the smallest doc_id stands for them.
     firsts = stored(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "firsts")
 
-    pairs = stored(_meetings(df, rows, width, percent), "meets")
+    pairs = stored(_meetings(df, rows, firsts, width, percent), "meets")
     copied = firsts.where("copies > 1").select(F.col("digest").alias("d"), "first")
     copies = rows.where("doc_id IS NOT NULL").join(copied, F.col("digest") == F.col("d")).where("doc_id <> first").select("first", "doc_id").distinct()
     # Copies need no comparison: only sets' first documents take part in the trees.
