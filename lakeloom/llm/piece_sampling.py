@@ -32,9 +32,9 @@ from .shingles import mix
 SPACE_MARK = 0x2581
 #: Stands for a space mark that was in the text.
 LITERAL_MARK = 0x200000 | SPACE_MARK
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 21
 #: Distinct words a task keeps filtered; beyond it starts anew.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 _P = np.uint64(0xD1342543DE82EF95)
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 _BYTE_EDGE = 1 << 30
