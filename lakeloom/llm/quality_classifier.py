@@ -27,7 +27,7 @@ from .quality_rules import measure
 
 #: Buckets of hashed features; length of byte n-grams.
 BUCKETS, GRAM = 4096, 4
-#: Expected number of documents that train the scorer; at most twice as many are taken.
+#: Expected number of distinct texts that train the scorer; at most twice as many are taken.
 SAMPLE = 2000
 #: Documents with a lower score aren't kept.
 THRESHOLD = 0.25
@@ -161,13 +161,17 @@ def _shapes(texts: list[str]) -> list[np.ndarray | None]:
 
 
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Weights and bias trained on docs: labellers on all, the scorer on about sample documents."""
-    df = docs.select(text_of(text))
+    """Weights and bias trained on docs: labellers on all, the scorer on about sample distinct texts."""
+    df = docs.select(text_of(text)).withColumn("hash", F.xxhash64("text", F.lit(7)))
 
     def vote(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([votes(s) for s in _shapes(batch.column(0).to_pylist())], pa.int32())], names=["pattern"])
+        return pa.RecordBatch.from_arrays([pa.array([votes(s) for s in _shapes(batch.column(0).to_pylist())], pa.int32()), batch.column(1)], names=["pattern", "hash"])
 
-    counts = {r.pattern: r["count"] for r in map_texts(df, vote, "pattern int").groupBy("pattern").count().toLocalIterator()}
+    counts, distinct = {}, 0
+    # Equal texts have equal patterns, so distinct texts add up over patterns; the estimate knows neither copies nor row order.
+    for r in map_texts(df, vote, "pattern int, hash long").groupBy("pattern").agg(F.count("*").alias("n"), F.approx_count_distinct("hash").alias("texts")).toLocalIterator():
+        counts[r.pattern] = r.n
+        distinct += r.texts
     if not counts:
         return np.zeros(BUCKETS, np.float32), 0.0
     posterior = fit_labellers(counts)
@@ -176,12 +180,13 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[np.n
         texts = batch.column(0).to_pylist()
         shapes = _shapes(texts)
         rows = features([t.encode("utf-8", "surrogatepass") for t in texts], shapes)
-        return pa.RecordBatch.from_arrays([pa.array([posterior[votes(s)] for s in shapes]), pa.array([r.tobytes() for r in rows], pa.binary())], names=["good", "row"])
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array([posterior[votes(s)] for s in shapes]), pa.array([r.tobytes() for r in rows], pa.binary())], names=["place", "good", "row"])
 
-    # Each distinct text stands once in the draw, so that copies can't fill it.
-    part = min(1.0, sample / sum(counts.values()))
-    drawn = df.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < int(part * (1 << 30))).where("text <> ''")
-    got = map_texts(drawn, describe, "good double, row binary").limit(2 * sample).toLocalIterator()
+    # Each distinct text stands once in the draw, so that copies can't fill it, and the least hashes are taken, in their order.
+    part = min(1.0, sample / max(1, distinct))
+    placed = df.select("text", F.pmod("hash", F.lit(1 << 30)).alias("place"))
+    drawn = placed.where(F.col("place") < int(part * (1 << 30))).where("text <> ''").distinct()
+    got = map_texts(drawn, describe, "place long, good double, row binary").orderBy("place", "good", "row").limit(2 * sample).toLocalIterator()
     labels, rows = [], []
     for r in got:
         labels.append(r.good)

@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from lakeloom.llm import quality_classifier as quality
 from lakeloom.llm.queries import _table
@@ -48,3 +50,26 @@ def test_edge_rows(spark):
     assert len({r.score for r in got if r.doc_id == 3}) == 1
     assert quality.classify(docs.limit(0)).count() == 0
     assert quality.reject(docs).columns == docs.columns
+
+
+def test_copies_do_not_fill_the_draw(spark):
+    docs = _table(spark, DATA, "documents").select("doc_id", "text").where("text <> ''").dropDuplicates(["text"])
+    hot = docs.orderBy("doc_id").first().text
+    assert docs.count() > 500
+    copies = spark.range(3000).selectExpr("-id AS doc_id").withColumn("text", F.lit(hot))
+    seen = []
+
+    def train(rows, labels):
+        seen.append((rows, labels))
+        return np.zeros(rows.shape[1], np.float32), 0.0
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality, "train", train)
+        quality.fit(docs.unionByName(copies), sample=200)
+        quality.fit(copies.unionByName(docs.orderBy(F.desc("doc_id"))), sample=200)
+        # A draw of all: every distinct text once.
+        quality.fit(docs.unionByName(copies), sample=10**6)
+    (rows, labels), (again, labels_again), (all_rows, _) = seen
+    # No text comes twice, though texts can look alike to the features.
+    assert 100 < len(rows) <= 400 and len(all_rows) == docs.count()
+    assert np.array_equal(rows, again) and np.array_equal(labels, labels_again)
