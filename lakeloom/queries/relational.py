@@ -68,6 +68,9 @@ _CUST = "(SELECT * FROM {customer} WHERE c_custkey % 3 <> 0)"
 _ORD = "(SELECT * FROM {orders} WHERE o_custkey % 2 = 0)"
 for _kind in ("inner", "left", "right", "full"):
     same(f"join_{_kind}", f"SELECT c.c_custkey, c.c_name, o.o_orderkey, o.o_totalprice FROM {_CUST} c {_kind.upper()} JOIN {_ORD} o ON c.c_custkey = o.o_custkey")
+# The same joins over the whole tables.
+for _kind in ("inner", "left", "right", "full"):
+    same(f"join_{_kind}_whole", f"SELECT c.c_custkey, c.c_name, o.o_orderkey, o.o_totalprice FROM {{customer}} c {_kind.upper()} JOIN {{orders}} o ON c.c_custkey = o.o_custkey")
 same("join_cross", "SELECT n.n_name, r.r_name FROM {nation} n CROSS JOIN {region} r")
 same("join_residual", "SELECT c.c_custkey, o.o_orderkey FROM {customer} c JOIN {orders} o ON c.c_custkey = o.o_custkey WHERE c.c_acctbal > 0 AND o.o_totalprice > 1000 AND (o.o_totalprice > 20 * c.c_acctbal OR c.c_mktsegment = 'BUILDING')")
 same("join_order", "SELECT o.o_orderkey, n.n_name FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey ORDER BY n.n_name, o.o_orderkey")
