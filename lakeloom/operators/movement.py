@@ -126,12 +126,12 @@ def bucket_of(key: Column, buckets: int = EXCHANGE_BUCKETS) -> Column:
     return (hashed % buckets).cast("int")
 
 
-def emitted_within(rows: DataFrame, key: str, value: str, limit: int = EMIT_MAX_BYTES) -> DataFrame:
-    """rows, if keys and values are all set and their bytes stay within the limit; else an error."""
+def emitted_within(rows: DataFrame, key: str, value: str, limit: int | None = EMIT_MAX_BYTES) -> DataFrame:
+    """rows, if keys and values are all set and their bytes stay within the limit, if there is one; else an error."""
     got = rows.agg(F.sum(F.octet_length(key) + F.octet_length(value)).alias("bytes"), F.count_if(F.col(key).isNull() | F.col(value).isNull()).alias("nulls")).first()
     if got.nulls:
         raise ValueError("an emitted key or value is null")
-    if (got.bytes or 0) > limit:
+    if limit is not None and (got.bytes or 0) > limit:
         raise ValueError(f"{got.bytes} bytes emitted; the limit is {limit}")
     return rows
 
