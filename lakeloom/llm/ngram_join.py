@@ -226,18 +226,20 @@ def _meetings(df: DataFrame, rows: DataFrame, firsts: DataFrame, width: int, per
                 at = keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
                 found.append(keys[(bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0])
             take = pa.array(np.repeat(np.arange(len(sets)), [len(k) for k in found]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), piece.column(0).take(take)], names=["key", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), piece.column(0).take(take), pa.array([_digest(s) for s in sets], pa.binary()).take(take)], names=["key", "doc_id", "digest"])
 
-    on_routes = stored(df.mapInArrow(trimmed(members), "key long, doc_id long"), "routes")
+    # A doc_id can hold several sets: the tag says which of them takes the route.
+    tag = F.xxhash64("digest").alias("tag")
+    on_routes = stored(df.mapInArrow(trimmed(members), "key long, doc_id long, digest binary").select("key", "doc_id", tag), "routes")
     admitted.destroy()
     # Of routes with equal members one is enough: sums over members tell them apart, combined before they are shuffled.
-    taken = on_routes.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("x")).where("m > 1")
+    taken = on_routes.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("doc_id", "tag").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("doc_id", "tag", F.lit(1))).alias("x")).where("m > 1")
     one_each = stored(taken.groupBy("m", "s", "x").agg(F.min("key").alias("k")).select("k"), "kept")
     met = on_routes.join(one_each, F.col("key") == F.col("k"), "left_semi")
     # Copies are known from their digests: only a set's first document goes on.
     first = firsts.select(F.col("digest").alias("fd"), "first")
-    described = rows.join(first, (F.col("digest") == F.col("fd")) & (F.col("doc_id") == F.col("first")), "left_semi").select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), "sketch")
-    met = stored(met.join(described, F.col("doc_id") == F.col("d")).select("key", "doc_id", "n", "sketch"), "met")
+    described = rows.join(first, (F.col("digest") == F.col("fd")) & (F.col("doc_id") == F.col("first")), "left_semi").select(F.col("doc_id").alias("d"), tag.alias("t"), F.col("n_shingles").alias("n"), "sketch")
+    met = stored(met.join(described, (F.col("doc_id") == F.col("d")) & (F.col("tag") == F.col("t"))).select("key", "doc_id", "n", "sketch"), "met")
     large = met.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("m")).where(F.col("m") > CHUNK_SETS)
     large = stored(large.select("k", F.ceil(F.col("m") / CHUNK_SETS).cast("int").alias("chunks")), "large")
     # Many small routes share a task; a large one is cut, and each pair of its chunks is a task.

@@ -102,3 +102,15 @@ def test_components_of_chains_stars_and_loops(spark):
 def test_shingles_of_short_texts():
     sets = shingle_sets([b"", b"a b", b"A B", b"a b c a b c", b"a  b\nc"], 3)
     assert [len(s) for s in sets] == [0, 1, 1, 3, 1] and sets[1] == sets[2] and sets[4][0] in sets[3]
+
+
+def test_sets_of_one_doc_id_keep_their_own_sketches(spark):
+    rng = random.Random(7)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(8):
+        base = words(1002)
+        # Sketches of 128 and 64 bytes under one doc_id, of 256 for its partner.
+        rows += [(10 * i, " ".join(base)), (10 * i, " ".join(words(400))), (10 * i + 1, " ".join(base + words(30)))]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 24 and {(r.doc_id, r.component_id) for r in got} == {(10 * i + k, 10 * i) for i in range(8) for k in (0, 1)}
