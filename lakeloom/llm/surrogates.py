@@ -30,7 +30,9 @@ FEMALE = ("alice", "ana", "anna", "camille", "carmen", "claire", "clara", "elena
 TITLES = ("Mr", "Mrs", "Ms", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
 
 _TITLE = "(?:" + "|".join(TITLES) + r")\.? "
-_WORD = r"\p{Lu}[\p{L}'’]{1,30}"
+_WORD = r"\p{Lu}[\p{L}'’]++"
+# Java bounds a lookbehind: a family name is found behind a given name of this length at most.
+_GIVEN = r"\p{Lu}[\p{L}'’]{1,30}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _EDGE, _STOP = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 # Each alternative begins behind an edge or is possessive, so that a long word is read once.
@@ -45,7 +47,7 @@ PATTERN = "|".join(
         r"(?<![\p{L}\p{N}.-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
         rf"{_EDGE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{_STOP}",
         rf"(?<=(?<![\p{{L}}\p{{N}}]){_TITLE}){_WORD}",
-        rf"(?<=(?<![\p{{L}}\p{{N}}]){_TITLE}{_WORD} ){_WORD}",
+        rf"(?<=(?<![\p{{L}}\p{{N}}]){_TITLE}{_GIVEN} ){_WORD}",
     ]
 )
 #: What every entity has one of; texts without it aren't searched.

@@ -94,3 +94,12 @@ def test_every_entity_goes_and_nothing_else(spark):
 
 def test_empty_table(spark):
     assert sur.replace_entities(spark.createDataFrame([], "doc_id long, text string"), KEY).count() == 0
+
+
+def test_long_names_are_replaced_whole(spark):
+    stem = "Q" + "w" * 34
+    docs = spark.createDataFrame([(1, f"Mr {stem}xyz met Mr {stem}zyx and Mrs Anna {stem}yyy.")], "doc_id long, text string")
+    got = sur.replace_entities(docs, "k").first()
+    names = [w.strip(".") for w in got.text.split() if len(w) > 30]
+    assert got.n_entities == 4 and len(set(names)) == 3
+    assert not any(end in got.text for end in ("wxyz", "wzyx", "wyyy"))
