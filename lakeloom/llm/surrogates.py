@@ -1,7 +1,8 @@
 """Personal data replaced by keyed surrogates, in DataFrame and SQL operations only.
 
-Entities are found by one pattern; what a match is follows from its own text,
-so the same entity is recognised wherever it stands. Its surrogate is a
+Entities are found by one pattern; what a match is follows from its own text.
+Names are found directly behind one of the titles below only: untitled mentions,
+of a name titled elsewhere too, stay as they are. An entity's surrogate is a
 function of key, type and canonical form alone: equal entities get equal
 surrogates everywhere, without a join. Numbers go through a keyed Feistel
 network, a bijection on numbers of one length; given names are turned round
