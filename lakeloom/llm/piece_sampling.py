@@ -3,8 +3,8 @@
 A segmentation of a text is a path through the lattice of its pieces. No piece
 of the vocabulary holds a space mark behind another character, so lattices
 fall apart at words and the posterior over paths is the product of the words'.
-Each distinct word is filtered forward once per task: every position's sum
-over all paths that reach it. Each occurrence is then sampled backward, for
+Each distinct word, told apart by its bytes, is filtered forward once per
+task: every position's sum over all paths that reach it. Each occurrence is then sampled backward, for
 all occurrences of a block at once. The draws are a hash of (seed, row key,
 position), so a row's segmentation doesn't depend on where it runs.
 
@@ -13,7 +13,9 @@ weighs (r + 2) ** -alpha, after Zipf's law. A character without a piece, and a
 literal space mark, is spelled in byte pieces, so decoding is lossless.
 
 Null text counts as empty and has no pieces; repeated rows get equal pieces;
-texts are handled whole; an empty table gives an empty result.
+texts are handled whole, in time that grows with their length; a text without
+spaces is one word. Only the id and the text are read, so other columns may
+have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +38,6 @@ BLOCK_BYTES = 1 << 21
 #: Distinct words a task keeps filtered; beyond it starts anew.
 CACHE_WORDS = 300_000
 _P = np.uint64(0xD1342543DE82EF95)
-_P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 _BYTE_EDGE = 1 << 30
 
 
@@ -47,17 +48,69 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class _Hashes:
-    """Hashes of substrings of a code-point array."""
+class _Trie:
+    """The prefixes of all pieces as nodes, 0 the empty one; steps are looked up for many nodes at once, exactly."""
+
+    def __init__(self, pieces: list[str]):
+        steps: dict[int, int] = {}
+        #: Node → the piece that ends there, or -1.
+        self.ends = ends = [-1]
+        for k, piece in enumerate(pieces):
+            node = 0
+            for c in piece:
+                step = node << 22 | ord(c)
+                if (after := steps.get(step)) is None:
+                    after = steps[step] = len(ends)
+                    ends.append(-1)
+                node = after
+            ends[node] = k
+        self.ends = np.array(ends, np.int64)
+        # A hash table with linear probing, at most a quarter full.
+        self.bits = max(4, (4 * len(steps)).bit_length())
+        self.key, self.to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        key, to = np.fromiter(steps.keys(), np.int64, len(steps)), np.fromiter(steps.values(), np.int64, len(steps))
+        slot = self._slot(key)
+        while len(key):
+            _, first = np.unique(slot, return_index=True)
+            first = first[self.key[slot[first]] < 0]
+            self.key[slot[first]], self.to[slot[first]] = key[first], to[first]
+            rest = np.ones(len(key), bool)
+            rest[first] = False
+            key, to, slot = key[rest], to[rest], slot[rest] + 1 & (1 << self.bits) - 1
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * _P >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, node: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The nodes behind these characters, -1 where no piece goes on."""
+        key = node << 22 | codes
+        slot = self._slot(key)
+        found = self.key[slot]
+        out = np.where(found == key, self.to[slot], -1)
+        left = np.flatnonzero((found != key) & (found >= 0))
+        while len(left):
+            slot[left] = slot[left] + 1 & (1 << self.bits) - 1
+            found = self.key[slot[left]]
+            out[left] = np.where(found == key[left], self.to[slot[left]], -1)
+            left = left[(found != key[left]) & (found >= 0)]
+        return out
 
-    def __init__(self, codes: np.ndarray):
-        n = len(codes)
-        power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _P))])
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum((codes.astype(np.uint64) + np.uint64(7)) * power[:n])])
-        self.back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _P_INVERSE))])
 
-    def of(self, start: np.ndarray, length) -> np.ndarray:
-        return mix((self.sums[start + length] - self.sums[start]) * self.back[start] + np.asarray(length).astype(np.uint64))
+def _openings(space: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Where words begin: at the first of spaces in a row, and where texts begin."""
+    opens = space & ~np.concatenate([[False], space[:-1]])
+    opens[begin] = True
+    return np.flatnonzero(opens)
+
+
+def _distinct_words(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """(for each word of the texts, in order, its number; the distinct words in the order of their first places)."""
+    data = b"".join(texts)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    starts = _openings(np.frombuffer(data, np.uint8) == 32, (np.cumsum(sizes) - sizes)[sizes > 0])
+    ends = np.concatenate([starts, [len(data)]]).astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 class Sampler:
@@ -83,39 +136,35 @@ class Sampler:
                     raise ValueError("a piece crosses words")
                 self.bytes_of[i] = piece.replace(chr(SPACE_MARK), " ").encode()
                 rows.append((i, piece, min(-model.get_score(i), n)))
-        ids = np.array([r[0] for r in rows], np.int64)
-        lengths = np.array([len(r[1]) for r in rows], np.int64)
-        hashes = _Hashes(np.frombuffer("".join(r[1] for r in rows).encode("utf-32-le"), np.uint32))
-        keys = hashes.of(np.cumsum(lengths) - lengths, lengths)
-        order = np.argsort(keys)
-        self.keys, self.ids, self.longest = keys[order], ids[order], int(lengths.max())
-        self.weight = -alpha * np.log(np.array([r[2] for r in rows])[order] + 2)
+        self.ids, self.longest = np.array([r[0] for r in rows], np.int64), max(len(r[1]) for r in rows)
+        self.trie = _Trie([r[1] for r in rows])
+        self.weight = -alpha * np.log(np.array([r[2] for r in rows]) + 2)
         self.byte_weight = -alpha * np.log(n + 2)
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[self.keys >> np.uint64(42)] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.word_no: dict[int, int] = {}
+        self.word_no: dict[bytes, int] = {}
         self.base = np.zeros(0, np.int64)  # word → node of its first position, less one
         self.edge_at = np.zeros(1, np.int64)  # node → its first edge
         self.edge_cum, self.edge_len, self.edge_id = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _edges(self, codes: np.ndarray, word_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, id, weight) of every piece in words' characters; word_end: each character's word's end."""
-        hashes, n = _Hashes(codes), len(codes)
+        n = len(codes)
         found = [[], [], [], []]
         spelled = np.ones(n, bool)
-        at = np.arange(n)
+        at, node = np.arange(n), np.zeros(n, np.int64)
         for length in range(1, self.longest + 1):
-            at = at[at + length <= word_end[at]]
+            inside = at + length <= word_end[at]
+            at, node = at[inside], node[inside]
+            node = self.trie.step(node, codes[at + length - 1])
+            on = node >= 0
+            at, node = at[on], node[on]
             if not len(at):
                 break
-            key = hashes.of(at, length)
-            hit = np.flatnonzero(self.maybe[key >> np.uint64(42)])
-            k = np.minimum(np.searchsorted(self.keys, key[hit]), len(self.keys) - 1)
-            same = self.keys[k] == key[hit]
-            k, start = k[same], at[hit[same]]
+            k = self.trie.ends[node]
+            hit = np.flatnonzero(k >= 0)
+            k, start = k[hit], at[hit]
             if length == 1:
                 spelled[start] = False
             for x, y in zip(found, (start, np.full(len(k), length), self.ids[k], self.weight[k]), strict=True):
@@ -127,7 +176,7 @@ class Sampler:
             x.append(y)
         return tuple(np.concatenate(x) for x in found)
 
-    def _filter(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keys: np.ndarray) -> None:
+    def _filter(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, words: list[bytes]) -> None:
         """Filter these new words forward and keep, for each position, its incoming edges' cumulative posterior."""
         flat = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
         codes = codes[flat]
@@ -159,8 +208,7 @@ class Sampler:
         cum = run - np.repeat(run[np.cumsum(count) - 1] - np.add.reduceat(share, np.cumsum(count) - count), count)
         cum[np.cumsum(count) - 1] = 2.0  # the last edge takes what rounding leaves
         n_nodes = len(self.edge_at) - 1
-        for k, key in enumerate(keys.tolist()):
-            self.word_no[key] = len(self.base) + k
+        self.word_no.update(zip(words, range(len(self.base), len(self.base) + len(words)), strict=True))
         self.base = np.concatenate([self.base, n_nodes + ends - lengths - 1])
         self.edge_at = np.concatenate([self.edge_at, self.edge_at[-1] + np.cumsum(count)])
         self.edge_cum = np.concatenate([self.edge_cum, cum])
@@ -169,7 +217,8 @@ class Sampler:
 
     def encode(self, texts: list[str], row_keys: np.ndarray) -> list[np.ndarray]:
         """A sampled segmentation of each text, as ids."""
-        raw = [np.frombuffer((" " + t).encode("utf-32-le"), np.uint32) if t else np.zeros(0, np.uint32) for t in texts]
+        given = [(" " + t).encode() if t else b"" for t in texts]
+        raw = [np.frombuffer(g.decode().encode("utf-32-le"), np.uint32) for g in given]
         sizes = np.array([len(r) for r in raw], np.int64)
         if not sizes.sum():
             return [np.zeros(0, np.int64) for _ in texts]
@@ -177,20 +226,17 @@ class Sampler:
         codes[codes == SPACE_MARK] = LITERAL_MARK
         codes[codes == 32] = SPACE_MARK
         begin = np.cumsum(sizes) - sizes
-        mark = codes == SPACE_MARK
-        opens = mark & ~np.concatenate([[False], mark[:-1]])
-        opens[begin[sizes > 0]] = True
-        starts = np.flatnonzero(opens)
+        starts = _openings(codes == SPACE_MARK, begin[sizes > 0])
         lengths = np.diff([*starts, len(codes)])
-        keys = _Hashes(codes).of(starts, lengths)
-        distinct, sample, which = np.unique(keys, return_index=True, return_inverse=True)
+        which, listed = _distinct_words(given)
+        sample = np.zeros(len(listed), np.int64)
+        sample[which[::-1]] = np.arange(len(which))[::-1]
         if len(self.word_no) > CACHE_WORDS:
             self._forget()
-        listed = distinct.tolist()
-        new = np.array([i for i, k in enumerate(listed) if k not in self.word_no], np.int64)
+        new = np.array([i for i, w in enumerate(listed) if w not in self.word_no], np.int64)
         if len(new):
-            self._filter(codes, starts[sample[new]], lengths[sample[new]], distinct[new])
-        word = np.array([self.word_no[k] for k in listed], np.int64)[which]
+            self._filter(codes, starts[sample[new]], lengths[sample[new]], [listed[i] for i in new.tolist()])
+        word = np.fromiter(map(self.word_no.__getitem__, listed), np.int64, len(listed))[which]
         # Draws: a hash of seed, row key and position in the text.
         doc = np.repeat(np.arange(len(texts)), sizes)
         stream = mix(row_keys.astype(np.uint64) ^ self.seed)

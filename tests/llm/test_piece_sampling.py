@@ -51,6 +51,17 @@ def test_round_trips_and_reproducibility():
     assert all(model.decode(i.tolist()) == t for i, t in zip(whole, texts, strict=True) if "▁" not in t)
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_regular_words_are_told_apart():
+    word = thue_morse(2048)
+    texts = [word, word.translate(str.maketrans("ab", "ba")), f"{word} x {word[::-1]}"]
+    sampler = ps.Sampler()
+    assert [sampler.decode(i.tolist()) for i in sampler.encode(texts, np.arange(3))] == texts
+
+
 def test_rows(spark):
     rows = [(1, "some text", 1), (1, "some text", 1), (2, None, 1), (3, "", 1), (4, "word " * 30_000, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
