@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
+_P = np.uint64(0x9E3779B97F4A7C15)
+#: Keys of the word hash, and of long words' digests.
+_FIRST, _SECOND, _KEY = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), b"word"
+#: For 0 to 8 bytes, the bits that they take.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -20,16 +25,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words, A-Z folded; bounds: words of text i are at bounds[i]:bounds[i + 1])."""
-    data = _LOWER[np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)]
-    space = _SPACE[data]
+    """(hashes of all words, A-Z folded; bounds: words of text i are at bounds[i]:bounds[i + 1]).
+
+    Words of up to 16 bytes are scrambled as two numbers, so that those of one
+    length of up to 8 never collide; longer ones are digested whole. No word is
+    hashed by a polynomial of its letters, which regular words can defeat.
+    """
+    data = _LOWER[np.frombuffer(b" ".join([b"", *texts, b""]) + bytes(16), np.uint8)]
+    space = _SPACE[data[:-16]]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edge[::2], edge[1::2]
-    # A word's hash is a difference of prefix sums of byte * P^position, shifted back to position 0.
-    power = np.cumprod(np.full(len(data), _P))
-    sums = np.cumsum((data + np.uint64(1)) * power)
-    back = np.cumprod(np.full(len(data), _P_INVERSE))
-    words = mix((sums[ends - 1] - sums[starts - 1]) * back[starts] + (ends - starts).astype(np.uint64))
+    length = ends - starts
+    # The eight bytes from every place on, as a number.
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    words = mix((eight[starts] & _MASK[np.minimum(length, 8)]) ^ _FIRST)
+    words += mix((eight[np.minimum(starts + 8, len(eight) - 1)] & _MASK[np.clip(length - 8, 0, 8)]) ^ _SECOND)
+    words = mix(words + length.astype(np.uint64) * _P)
+    long = np.flatnonzero(length > 16)
+    if len(long):
+        flat = data.tobytes()
+        digests = [hashlib.blake2b(flat[a:b], digest_size=8, key=_KEY).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        words[long] = np.frombuffer(b"".join(digests), np.uint64)
     first = np.cumsum([1, *(len(t) + 1 for t in texts)])
     return words, np.searchsorted(starts, first)
 

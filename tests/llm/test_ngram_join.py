@@ -6,7 +6,7 @@ import pytest
 
 from lakeloom.llm import ngram_join, signature_tree
 from lakeloom.llm.components import components
-from lakeloom.llm.shingles import shingle_sets
+from lakeloom.llm.shingles import shingle_sets, word_hashes
 
 
 def words_of(text):
@@ -114,3 +114,25 @@ def test_sets_of_one_doc_id_keep_their_own_sketches(spark):
         rows += [(10 * i, " ".join(base)), (10 * i, " ".join(words(400))), (10 * i + 1, " ".join(base + words(30)))]
     got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 24 and {(r.doc_id, r.component_id) for r in got} == {(10 * i + k, 10 * i) for i in range(8) for k in (0, 1)}
+
+
+def test_regular_words_are_told_apart(spark):
+    word = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, f"{word} x y"), (4, f"{other} x y"), (5, word.upper())]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_word_hashes_are_those_of_the_words():
+    rng = random.Random(3)
+    pool = ["".join(rng.choice("abé日z.-") for _ in range(n)) for n in range(1, 40) for _ in range(40)]
+    texts = [" ".join(rng.choices(pool, k=rng.randrange(9))).encode() for _ in range(300)] + [b"", b"  ", b"\n a\t"]
+    hashes, bounds = word_hashes(texts)
+    seen = {}
+    for i, t in enumerate(texts):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", t)
+        assert bounds[i + 1] - bounds[i] == len(words)
+        for w, h in zip(words, hashes[bounds[i] : bounds[i + 1]].tolist(), strict=True):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen) > 500
