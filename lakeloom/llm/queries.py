@@ -63,8 +63,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation against itself with the next conversation's last reply."""
-    turns = _table(spark, sf_dir, "conversations")
-    return preferences.format_preferences(turns, preferences.with_borrowed_replies(turns)).withColumnRenamed("pair", "conv_id")
+    return preferences.format_with_borrowed_replies(_table(spark, sf_dir, "conversations")).withColumnRenamed("pair", "conv_id")
 
 
 ORACLES["op8_preferences"] = sql.OP8

@@ -66,27 +66,27 @@ FROM v JOIN c ON vec_id = c.x LEFT JOIN n ON vec_id = n.x
 
 def _rendered(side: str, common: str, column: str) -> str:
     head = "'<|' || role || '|>' || chr(10)"
-    return f"""{column} AS (SELECT conv_id, part, string_agg({head} || text || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS body,
+    return f"""{column} AS (SELECT conv_id, string_agg({head} || text || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS body,
   string_agg(CASE WHEN role = 'assistant' THEN (pos + length({head})) || ':' || (pos + length({head}) + length(text) + 7) END, ',' ORDER BY turn, role, text) AS mask
-  FROM (SELECT *, coalesce(sum(length({head}) + length(text) + 8) OVER (PARTITION BY conv_id, part ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM (SELECT *, coalesce(sum(length({head}) + length(text) + 8) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
         FROM {side} JOIN ends USING (conv_id) WHERE {common} coalesce(turn < stop, true)) GROUP BY ALL)"""
 
 
-OP8 = f"""
-WITH c AS (SELECT DISTINCT conv_id, turn, turn // 256 AS part, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+OP8 = rf"""
+WITH c AS (SELECT DISTINCT conv_id, turn, regexp_replace(coalesce(role, 'unknown'), '<(\||\z)', '< \1', 'g') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
            FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 last AS (SELECT conv_id, max(turn) AS turn, max(text) AS text FROM
          (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS top FROM c WHERE role = 'assistant') WHERE turn = top GROUP BY conv_id),
-r AS (SELECT DISTINCT c.conv_id, c.turn, c.part, c.role, CASE WHEN c.role = 'assistant' AND c.turn = l.turn THEN n.text ELSE c.text END AS text
+r AS (SELECT DISTINCT c.conv_id, c.turn, c.role, CASE WHEN c.role = 'assistant' AND c.turn = l.turn THEN n.text ELSE c.text END AS text
       FROM c LEFT JOIN last l ON c.conv_id = l.conv_id LEFT JOIN last n ON n.conv_id = c.conv_id + 1
       WHERE NOT coalesce(c.role = 'assistant' AND c.turn = l.turn, false) OR n.text IS NOT NULL),
 both_sides AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.turn, b.turn) AS turn, a.x IS NOT DISTINCT FROM b.x AS same
       FROM (SELECT conv_id, turn, string_agg(role || chr(0) || text, chr(0) ORDER BY role, text) AS x FROM c GROUP BY ALL) a
       FULL JOIN (SELECT conv_id, turn, string_agg(role || chr(0) || text, chr(0) ORDER BY role, text) AS x FROM r GROUP BY ALL) b ON a.conv_id = b.conv_id AND a.turn = b.turn),
 ends AS (SELECT conv_id, min(turn) FILTER (NOT same) AS stop FROM both_sides GROUP BY conv_id),
-parts AS (SELECT b.conv_id, turn // 256 AS part, count(DISTINCT turn) FILTER (coalesce(turn < stop, true)) AS n FROM both_sides b JOIN ends USING (conv_id) GROUP BY ALL),
+pairs AS (SELECT b.conv_id, count(DISTINCT turn) FILTER (coalesce(turn < stop, true)) AS n FROM both_sides b JOIN ends USING (conv_id) GROUP BY ALL),
 {_rendered("c", "", "pr")}, {_rendered("c", "NOT", "ch")}, {_rendered("r", "NOT", "rj")}
-SELECT p.conv_id, p.part, p.n AS n_prefix, coalesce(pr.body, '') AS prompt, coalesce(ch.body, '') AS chosen, coalesce(ch.mask, '') AS chosen_mask,
+SELECT p.conv_id, p.n AS n_prefix, coalesce(pr.body, '') AS prompt, coalesce(ch.body, '') AS chosen, coalesce(ch.mask, '') AS chosen_mask,
        coalesce(rj.body, '') AS rejected, coalesce(rj.mask, '') AS rejected_mask
-FROM parts p LEFT JOIN pr USING (conv_id, part) LEFT JOIN ch USING (conv_id, part) LEFT JOIN rj USING (conv_id, part)
+FROM pairs p LEFT JOIN pr USING (conv_id) LEFT JOIN ch USING (conv_id) LEFT JOIN rj USING (conv_id)
 """
