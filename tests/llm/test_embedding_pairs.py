@@ -42,6 +42,25 @@ def test_links_match_brute_force(spark, tile):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_far_tiles_are_left_out_and_near_ones_are_not():
+    rng = np.random.default_rng(5)
+    points = np.concatenate([c + 0.05 * rng.normal(size=(40, 8)) for c in rng.normal(size=(10, 8))])
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    box = pairs.Boxes(points, 4).of(points)
+    tiles = [points[box == k] for k in np.unique(box)]
+    assert sum(map(len, tiles)) == len(points) and len(tiles) == 16
+    low, high = (np.array([f(t, axis=0) for t in tiles]) for f in (np.min, np.max))
+    centre = np.array([t.mean(0) for t in tiles])
+    radius = np.array([np.linalg.norm(t - c, axis=1).max() for t, c in zip(tiles, centre, strict=True)])
+    reach, left_out = np.sqrt(0.2), 0
+    for i in range(len(tiles)):
+        near = set(pairs.near_tiles(low, high, centre, radius, np.full(len(tiles), 8), i, reach).tolist())
+        for j in range(i, len(tiles)):
+            left_out += j not in near
+            assert j in near or np.linalg.norm(tiles[i][:, None] - tiles[j][None], axis=2).min() > reach
+    assert left_out > 60
+
+
 def test_bounds_never_lose_a_pair():
     rng = np.random.default_rng(3)
     a = rng.normal(size=(80, 24)) * np.geomspace(3, 0.1, 24)
@@ -51,6 +70,14 @@ def test_bounds_never_lose_a_pair():
         assert want <= {tuple(x) for x in pairs.tile_pairs(a, a, t).tolist()}
 
 
+def test_wide_vectors_keep_the_given_basis(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "MAX_DIMS", 8)
+    rng = np.random.default_rng(8)
+    rows = [(i, (v + 0.1 * rng.normal(size=12)).tolist()) for i, v in enumerate(np.repeat(rng.normal(size=(15, 12)), 3, axis=0))]
+    got = pairs.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9, tile=7).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute(rows, 0.9)
+
+
 def test_empty_and_unusable_tables(spark):
     df = spark.createDataFrame([(1, None), (2, [])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in pairs.near_duplicates(df).collect()) == [(1, 0, 1, True), (2, 0, 2, True)]
