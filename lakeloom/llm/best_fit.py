@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OncePerTask, map_texts, pieces_by_size, stored, text_of
+from .common import OncePerWorker, map_texts, pieces_by_size, stored, text_of
 from .tokens import Encoder
 
 #: Permitted sequence lengths.
 SIZES = (1024, 2048, 4096)
 #: Cost of a bin besides its length, in tokens.
 OVERHEAD = 64
-ENCODE_BYTES = 1 << 21
+ENCODE_BYTES = 1 << 22
 #: Parts that ranks within a length are counted in.
 RANK_PARTS = 4096
 
@@ -157,10 +157,10 @@ class Layout:
 
 def token_lengths(docs: DataFrame, keys: list[str], text: str = "text", tokenizer: str | None = None) -> DataFrame:
     """keys and n_tokens of every whole text."""
-    encoder = OncePerTask(lambda: Encoder(tokenizer))
+    encoder = OncePerWorker(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = [len(ids) // 4 for p in pieces_by_size(batch, "text", ENCODE_BYTES) for ids in encoder().encode(p.column("text").to_pylist())]
+        n = [len(ids) for p in pieces_by_size(batch, "text", ENCODE_BYTES) for ids in encoder().encode(p.column("text").to_pylist())]
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=[*keys, "n_tokens"])
 
     df = docs.select(*keys, text_of(text))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,21 +13,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch handed to Python; bounds a worker's memory with long texts.
-ARROW_ROWS = 1000
-
 _own_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where that setting is absent (tests on one machine) a temporary
-    folder takes its place.
+    Only where that setting is absent and Spark runs on one machine, as in
+    tests, a temporary folder takes its place.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="lakeloom-")
@@ -60,13 +61,6 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for tables with very long texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ARROW_ROWS or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(ARROW_ROWS))
-
-
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, after which the worker gives freed memory back; workers live on and would keep their peak."""
 
@@ -82,8 +76,7 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 
 
 def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply work to each Arrow batch of df."""
-    small_batches(df.sparkSession)
+    """Apply work to each Arrow batch of df; Spark bounds batches in rows and in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,8 +104,6 @@ def pieces_by_size(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[p
         yield batch.slice(start)
 
 
-
-
 class OncePerTask:
     """A value that is built on first use where it is needed and never pickled."""
 
@@ -126,3 +117,23 @@ class OncePerTask:
 
     def __getstate__(self) -> dict:
         return {"build": self.build}
+
+
+class OncePerWorker(OncePerTask):
+    """A value that a worker builds on first use and keeps for later tasks, which need it under the same name.
+
+    Functions are pickled by value, so what outlives a task lives in a module
+    made for it. The value must not change what tasks give, only save time.
+    """
+
+    def __init__(self, name: str, build: Callable[[], object]):
+        self.name, self.build = name, build
+
+    def __call__(self):
+        kept = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+        if self.name not in kept:
+            kept[self.name] = self.build()
+        return kept[self.name]
+
+    def __getstate__(self) -> dict:
+        return {"name": self.name, "build": self.build}

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_by_size, small_batches, stored, text_of, trimmed
+from .common import pieces_by_size, stored, text_of, trimmed
 from .components import components
 from .shingles import mix, shingle_sets
 from .signature_tree import Forest, link
@@ -286,8 +286,6 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
     Rows link when 100 * intersection >= percent * union of their sets of
     width-word shingles; component_id is the smallest doc_id reachable.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     df = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text))
 
     def describe(batches):

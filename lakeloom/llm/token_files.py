@@ -10,8 +10,9 @@ shared store serves and lost executors lose nothing. Only (shard, n_ids) of
 the index is needed to turn positions in a shard into positions in the corpus.
 
 Null text counts as empty (an end id alone). Rows of equal ids stay separate
-documents, ordered by text; a null id comes first. An empty table writes no
-block and reads back empty.
+documents, ordered by text; a null id comes first. A text of any length is
+encoded whole and may span blocks. Only the id and the text are read, so other
+columns may have any name. An empty table writes no block and reads back empty.
 """
 
 from __future__ import annotations
@@ -21,19 +22,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OncePerTask, pieces_by_size, small_batches, stored, text_of, trimmed
+from .common import OncePerTask, OncePerWorker, pieces_by_size, stored, text_of, trimmed
 from .tokens import Encoder
 
 #: Ids in a full block.
 BLOCK_IDS = 1 << 18
 #: Bytes of text encoded at once.
-ENCODE_BYTES = 1 << 21
-ZSTD_LEVEL = 3
+ENCODE_BYTES = 1 << 22
+ZSTD_LEVEL = 1
 END_ID = 0
 
 BLOCK_SCHEMA = (
@@ -68,38 +70,42 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     # Only ids are sampled for the ranges; texts move once.
     ordered = df.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     id_type = df.schema["doc_id"].dataType.simpleString()
-    encoder = OncePerTask(lambda: Encoder(tokenizer))
-    end = np.array([end_id], "<u4").tobytes()
+    encoder = OncePerWorker(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
+    end = np.array([end_id], np.uint32)
     schema = BLOCK_SCHEMA.format(id=id_type)
     arrow = DataFrameSchema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, first, row = TaskContext.get().partitionId(), 0, 0, 0
-        held, n_held, inside = [], 0, []
+        held, n_held = [], 0
+        # The block's entries, a list for each field of docs.
+        entries: list[list] = [[] for _ in range(6)]
 
-        def full(n: int) -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u4")
-            values = [[shard], [block], [first], [n], [to_planes(ids, bits)], [inside]]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, arrow().types, strict=True)], names=arrow().names)
+        def full() -> pa.RecordBatch:
+            fields = arrow().field("docs").type.value_type
+            docs = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(entries, fields, strict=True)], fields=list(fields))
+            columns = [pa.array([v], f.type) for v, f in zip((shard, block, first, n_held, to_planes(np.concatenate(held), bits)), arrow(), strict=False)]
+            return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs, type=arrow().field("docs").type)], schema=arrow())
 
         for batch in batches:
             for piece in pieces_by_size(batch, "text", ENCODE_BYTES):
                 for key, ids in zip(piece.column("doc_id").to_pylist(), encoder().encode(piece.column("text").to_pylist()), strict=True):
-                    ids += end
-                    done, n = 0, len(ids) // 4
+                    done, n = 0, len(ids) + 1
                     while done < n:
                         take = min(n - done, block_ids - n_held)
-                        held.append(ids[4 * done : 4 * (done + take)])
-                        inside.append({"doc_id": key, "row": row, "at": n_held, "n": take, "opens": done == 0, "closes": done + take == n})
+                        held.append(ids[done : done + take])
+                        if done + take == n:
+                            held.append(end)
+                        for x, v in zip(entries, (key, row, n_held, take, done == 0, done + take == n), strict=True):
+                            x.append(v)
                         done, n_held = done + take, n_held + take
                         if n_held == block_ids:
-                            yield full(n_held)
-                            block, first, held, n_held, inside = block + 1, first + n_held, [], 0, []
+                            yield full()
+                            block, first, held, n_held, entries = block + 1, first + n_held, [], 0, [[] for _ in range(6)]
                     row += 1
         if n_held:
-            yield full(n_held)
+            yield full()
 
-    small_batches(docs.sparkSession)
     ordered.mapInArrow(trimmed(run), schema).write.option("compression", "uncompressed").parquet(path)
 
 
@@ -150,36 +156,32 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, first, n, planes, docs in zip(*(batch.column(c).to_pylist() for c in ("shard", "first", "n_ids", "planes", "docs")), strict=True):
+            for i in range(batch.num_rows):
+                shard, first, n, planes = (batch.column(c)[i].as_py() for c in ("shard", "first", "n_ids", "planes"))
+                docs = batch.column("docs")[i].values
                 data = memoryview(from_planes(planes, n).tobytes())
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "shard": pa.array([shard] * len(docs), pa.int32()),
-                        "row": pa.array([d["row"] for d in docs], pa.int64()),
-                        "doc_id": pa.array([d["doc_id"] for d in docs], batch.schema.field("docs").type.value_type.field("doc_id").type),
-                        "at": pa.array([first + d["at"] for d in docs], pa.int64()),
-                        "n": pa.array([d["n"] for d in docs], pa.int64()),
-                        "crc": pa.array([zlib.crc32(data[4 * d["at"] : 4 * (d["at"] + d["n"])]) for d in docs], pa.int64()),
-                        "whole": pa.array([d["opens"] and d["closes"] for d in docs], pa.bool_()),
-                    }
-                )
-
-    key = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(int(key), 64) if int(key) > 0 else 64)
-    parts = blocks.select("shard", "first", "n_ids", "planes", "docs").mapInArrow(run, f"shard int, row long, doc_id {id_type}, at long, n long, crc long, whole boolean")
+                at, count = docs.field("at").to_numpy().astype(np.int64), docs.field("n").to_numpy().astype(np.int64)
+                crc = [zlib.crc32(data[4 * a : 4 * (a + c)]) for a, c in zip(at.tolist(), count.tolist(), strict=True)]
+                whole = pc.and_(docs.field("opens"), docs.field("closes"))
+                columns = [pa.array(np.full(len(at), shard, np.int32)), docs.field("row"), docs.field("doc_id"), pa.array(first + at), pa.array(count), pa.array(crc, pa.int64()), whole]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "row", "doc_id", "at", "n", "crc", "whole"])
 
-    @F.udf("long")
-    def joined(found) -> int:
-        return crc32_joined([(p["crc"], 4 * p["n"]) for p in found])
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            crcs = [crc32_joined([(p["crc"], 4 * p["n"]) for p in parts]) for parts in batch.column("p").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(crcs, pa.int64())], names=[*batch.schema.names[:-1], "crc"])
 
+    parts = blocks.select("shard", "first", "n_ids", "planes", "docs").mapInArrow(run, f"shard int, row long, doc_id {id_type}, at long, n long, crc long, whole boolean")
     # Blocks are decoded once; only rows of numbers go on. Documents that span blocks are joined from their parts.
-    held = parts.groupBy("shard", "row", "doc_id").agg(F.min("at").alias("at"), F.sum("n").alias("n"), F.min("crc").alias("crc"), F.sort_array(F.collect_list(F.when(~F.col("whole"), F.struct("at", "n", "crc")))).alias("p"))
-    held = stored(held, "digests")
-    every = held.where("size(p) = 0").select("shard", "doc_id", "at", "n", "crc").unionByName(held.where("size(p) > 0").select("shard", "doc_id", "at", "n", joined("p").alias("crc")))
-    # The shards' sizes, from the index alone; a row for each write task, which bounds what is broadcast.
-    sizes = blocks.groupBy(F.col("shard").alias("s")).agg(F.sum(F.col("n_ids").cast("long")).alias("ids"))
-    before = sizes.selectExpr("s", "sum(ids) OVER (ORDER BY s) - ids AS base")
-    return every.join(F.broadcast(before), F.col("shard") == F.col("s")).select("doc_id", (F.col("at") + F.col("base")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    parts = stored(parts, "parts")
+    split = parts.where("NOT whole").groupBy("shard", "row", "doc_id").agg(F.min("at").alias("at"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "n", "crc"))).alias("p"))
+    split = split.select("shard", "doc_id", "at", "n", "p").mapInArrow(joined, f"shard int, doc_id {id_type}, at long, n long, crc long")
+    every = parts.where("whole").select("shard", "doc_id", "at", "n", "crc").unionByName(split)
+    # The shards' sizes, from the index alone: one row for each write task, whose running sum is one small task.
+    sizes = stored(blocks.groupBy(F.col("shard").alias("s")).agg(F.sum(F.col("n_ids").cast("long")).alias("ids")), "sizes")
+    # Stored, so that Spark knows its size and broadcasts it only if small.
+    before = stored(sizes.selectExpr("s", "sum(ids) OVER (ORDER BY s) - ids AS base"), "before")
+    return every.join(before, F.col("shard") == F.col("s")).select("doc_id", (F.col("at") + F.col("base")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -2,24 +2,31 @@
 
 A byte-level BPE of this family always starts a token at a single space that
 stands between two characters that aren't white space. Texts are cut at those
-spaces, each distinct piece is encoded by the library once per task, and the
-ids of a text are its pieces' ids in order. Texts with other runs of white
-space around spaces are encoded whole.
+spaces in Arrow, each distinct piece is encoded by the library once per task,
+and the ids of a text are its pieces' ids in order, gathered from one array.
+Texts with other runs of white space around spaces are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Encoded pieces that a task keeps, in two generations; those not used for a while go.
-CACHE_PIECES = 600_000
+#: Encoded pieces, and their ids, that a task keeps; beyond either the half that wasn't used for longest goes.
+CACHE_PIECES, CACHE_IDS = 500_000, 4_000_000
 #: Longest piece that is kept.
 CACHE_CHARS = 64
 #: Pieces that are encoded in one text.
 JOINED_PIECES = 2000
+#: Marks that make a token of their own, or several, behind a letter at a piece's end; none can begin a special token's end.
+_MARKS = ".,:;!?)]}$&#*%\""
+#: Letters of long standing, which every version of Unicode takes for letters.
+_LETTER = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and (c.isascii() or c >= "\u00c0")).__contains__
 #: A space with white space beside it: cutting there could split a token.
 _UNSAFE = re.compile(r" [\s\x1c-\x1f\x85]|[\s\x1c-\x1f\x85] ")
 
@@ -28,11 +35,19 @@ _UNSAFE = re.compile(r" [\s\x1c-\x1f\x85]|[\s\x1c-\x1f\x85] ")
 _RARES = [c for c in map(chr, range(0x3001)) if c not in " \n" and (c.isspace() or c in "\0\x1c\x1d\x1e\x1f\x85")]
 
 
-def _unsafe(text: str) -> bool:
-    """Whether some space has white space beside it, or the text holds the character that marks cuts."""
+def _marked(text: str) -> str | None:
+    """text with spaces where it may be cut and \\0 before pieces without a space of their own; None if it can't be cut.
+
+    A single line feed between characters that aren't white space is a token
+    of its own, so pieces end there too.
+    """
     if "  " in text or " \n" in text or "\n " in text:
-        return True
-    return any(map(text.__contains__, _RARES)) and ("\0" in text or _UNSAFE.search(text) is not None)
+        return None
+    if any(map(text.__contains__, _RARES)):
+        return None if "\0" in text or _UNSAFE.search(text) else "\0" + text
+    if "\n" in text and not ("\n\n" in text or text[0] == "\n" or text[-1] == "\n"):
+        text = text.replace("\n", " \0\n \0")
+    return "\0" + text
 
 
 def default_path() -> str:
@@ -42,8 +57,35 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Ragged:
+    """A growing list of id lists in one array."""
+
+    def __init__(self):
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.at, self.length, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def extend(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Append lists that lie behind one another in ids."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n + len(lengths) > len(self.at):
+            self.at, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.length))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.at[self.n : self.n + len(lengths)] = self.used + np.cumsum(lengths) - lengths
+        self.length[self.n : self.n + len(lengths)] = lengths
+        self.used, self.n = self.used + len(ids), self.n + len(lengths)
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these lists in a row, the lists' lengths)."""
+        lengths = self.length[which]
+        ends = np.cumsum(lengths)
+        place = np.repeat(self.at[which] - (ends - lengths), lengths)
+        place += np.arange(len(place))
+        return self.ids[place], lengths
+
+
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids; lives on a worker."""
+    """Texts to unsigned 32-bit ids; lives on a worker."""
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -56,53 +98,98 @@ class Encoder:
         #: Bytes of text that each id stands for.
         self.id_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.id_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
-        #: Encoded pieces, those of the last while and those before; what is used again stays.
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Each piece's ids; pieces that begin with their space are encoded in one text and told apart by their bytes."""
-        joined = [p for p in pieces if p[:1] == " " and len(p) > 1 and not p[-1].isspace()]
-        alone = sorted(set(pieces).difference(joined))
-        found = dict(zip(alone, self._encode(alone), strict=True))
-        for at in range(0, len(joined), JOINED_PIECES):
-            some = joined[at : at + JOINED_PIECES]
-            ids = np.frombuffer(self._encode(["".join(some)])[0], "<u4")
-            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in some])
-            cuts = np.searchsorted(have := np.cumsum(self.id_bytes[ids]), ends)
-            if not np.array_equal(have[cuts], ends):
-                raise AssertionError("a token crosses a cut")
-            data, cuts = ids.tobytes(), [0, *((cuts + 1) * 4).tolist()]
-            found.update((p, data[cuts[i] : cuts[i + 1]]) for i, p in enumerate(some))
-        return [found[p] for p in pieces]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self._clear()
+
+    def _clear(self) -> None:
+        #: Piece → its number; the numbers' ids, and the block each was last used in.
+        self.number: dict[str, int] = {}
+        self.held, self.last, self.block = _Ragged(), np.zeros(1 << 14, np.int64), 0
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces: those of a stem and a mark from their parts, the others by the library."""
+        known = self.number
+        # A piece that ends in marks behind a letter is its stem's ids and the marks' own.
+        stems = {p: q for p in pieces if p[-1:] in _MARKS and len(q := p.rstrip(_MARKS)) < len(p) and _LETTER(q[-1:])}
+        parts = set(stems.values()).union("\0" + p[len(q) :] for p, q in stems.items())
+        plain = list(parts.union(pieces).difference(stems, known)) if stems else pieces
+        # Pieces without white space are encoded in one text, behind spaces or line feeds, and told apart by their bytes.
+        led, bare, alone = [], [], []
+        for p in plain:
+            (alone if len(p.split()) != 1 or p[-1].isspace() or p[1:2].isspace() else bare if p[0] == "\0" else led).append(p)
+        for some, gap in ((led, " "), (bare, "\n")):
+            for at in range(0, len(some), JOINED_PIECES):
+                self._learn_joined(some[at : at + JOINED_PIECES], gap)
+        if alone:
+            found = self.tokenizer.encode_batch_fast([p[1:] if p[:1] == "\0" else " " + p for p in alone], add_special_tokens=False)
+            found = [np.array(e.ids, np.uint32) for e in found]
+            self._keep(alone, np.concatenate(found), np.array([len(x) for x in found], np.int64))
+        if stems:
+            both = np.array([known[x] for p, q in stems.items() for x in (q, "\0" + p[len(q) :])], np.int64)
+            ids, lengths = self.held.take(both)
+            self._keep(list(stems), ids, lengths.reshape(-1, 2).sum(1))
+
+    def _learn_joined(self, pieces: list[str], gap: str) -> None:
+        """Encode pieces as one text with a gap before each: a space is part of the piece's first token, a line feed a token of its own."""
+        bare = [p[1:] for p in pieces] if gap == "\n" else pieces
+        ids = self._whole(gap + gap.join(bare))
+        ends = np.cumsum(pc.binary_length(pa.array(bare, pa.string())).to_numpy() + 1)
+        cuts = np.searchsorted(have := np.cumsum(self.id_bytes[ids]), ends)
+        if not np.array_equal(have[cuts], ends):
+            raise AssertionError("a token crosses a cut")
+        lengths = np.diff(cuts, prepend=-1)
+        if gap == "\n":
+            ids = np.delete(ids, np.concatenate([[0], cuts[:-1] + 1]))
+            lengths -= 1
+        self._keep(pieces, ids, lengths)
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.number.update(zip(pieces, range(self.held.n, self.held.n + len(pieces)), strict=True))
+        self.held.extend(ids, lengths)
+
+    def _forget(self) -> None:
+        """Keep the half of the pieces that was used last."""
+        least = np.median(self.last[: self.held.n])
+        left = [(p, k) for p, k in self.number.items() if self.last[k] > least and len(p) <= CACHE_CHARS]
+        old, last, block = self.held, self.last, self.block
+        self._clear()
+        if left:
+            at = np.array([k for _, k in left], np.int64)
+            self._keep([p for p, _ in left], *old.take(at))
+            self.last = last[at]
+        self.block = block
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.cache) > CACHE_PIECES // 2:
-            self.old, self.cache = self.cache, {}
-        cache, out, cut = self.cache, [b""] * len(texts), []
-        seen: set[str] = set()
+        if self.held.n > CACHE_PIECES or self.held.used > CACHE_IDS:
+            self._forget()
+        self.block += 1
+        out = [np.zeros(0, np.uint32)] * len(texts)
+        cut, marked = [], []
         for i, text in enumerate(texts):
-            if _unsafe(text):
-                out[i] = self._encode([text])[0]
+            if (one := _marked(text)) is None:
+                out[i] = self._whole(text)
             else:
-                cut.append((i, pieces := text.replace(" ", "\0 ").split("\0")))
-                seen.update(pieces)
-        fresh = seen.difference(cache)
-        known = fresh.intersection(self.old)
-        cache.update((p, self.old[p]) for p in known)
-        fresh -= known
-        # A mark after a letter is always a token's start: such pieces are their stem's ids and the mark's.
-        stems = {p: p[:-1] for p in fresh if p[-1:] in (".", ",") and len(p) > 2 and p[-2].isalpha()}
-        whole = list((fresh.difference(stems) | set(stems.values()) | {".", ","}).difference(cache))
-        cache.update(zip(whole, self._encode_pieces(whole), strict=True))
-        cache.update((p, cache[stem] + cache[p[-1]]) for p, stem in stems.items())
-        for i, pieces in cut:
-            out[i] = b"".join(map(cache.__getitem__, pieces))
-        for p in fresh.union(whole):
-            if len(p) > CACHE_CHARS:
-                del cache[p]
+                cut.append(i)
+                marked.append(one)
+        # A piece goes by its text without the space before it; one that has none begins with a mark that no text here holds.
+        lists = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
+        if not len(lists):
+            return out
+        coded = lists.values.dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
+        fresh = np.flatnonzero(numbers < 0)
+        if len(fresh):
+            self._learn([pieces[k] for k in fresh.tolist()])
+            numbers[fresh] = [self.number[pieces[k]] for k in fresh.tolist()]
+            while len(self.last) < self.held.n:
+                self.last = np.concatenate([self.last, np.zeros_like(self.last)])
+        self.last[numbers] = self.block
+        ids, lengths = self.held.take(numbers[coded.indices.to_numpy()])
+        bounds = np.concatenate([[0], np.cumsum(lengths)])[lists.offsets.to_numpy()].tolist()
+        for i, a, b in zip(cut, bounds, bounds[1:], strict=False):
+            out[i] = ids[a:b]
         return out

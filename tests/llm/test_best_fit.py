@@ -74,7 +74,7 @@ def test_documents(spark):
     texts = {1: "some words here " * 900, 2: None, 3: "", 4: "short", 5: "x " * 30_000}
     docs = spark.createDataFrame([(k, v, 1) for k, v in texts.items()] + [(4, "short", 1)], "doc_id long, text string, piece int")
     encoder = tokens.Encoder()
-    lengths = {k: len(encoder.encode([v or ""])[0]) // 4 for k, v in texts.items()}
+    lengths = {k: len(encoder.encode([v or ""])[0]) for k, v in texts.items()}
     lengths[4] *= 2
     rows = best_fit.pack_documents(docs).collect()
     assert sum(r.n_tokens for r in rows) == sum(lengths.values())

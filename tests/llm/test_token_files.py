@@ -16,12 +16,22 @@ def whole(texts):
 
 def test_pieces_give_the_ids_of_whole_texts():
     rng = random.Random(1)
-    bits = [" ", "\n", "\t", "a", "1", ".", ",", "é", "'", "'s", "\x1c", "\x85", "\0", "Word", " word.", " x,", "  ", "<|endoftext|>", "日本", "don't"]
+    bits = [" ", "\n", "\t", "a", "1", ".", ",", "é", "'", "'s", "\x1c", "\x85", "\0", "Word", " word.", " x,", "end.\nNext", "\n\n", "\r\n", "!?", "é$$&", "\"", "|>.", "  ", "<|endoftext|>", "日本", "don't"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(4000)] + ["", " ", "a ", " a"]
     encoder = tokens.Encoder()
     for at in range(0, len(texts), 500):
         some = texts[at : at + 500]
-        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(some)] == whole(some)
+        assert [ids.tolist() for ids in encoder.encode(some)] == whole(some)
+
+
+def test_forgotten_pieces_are_learnt_again(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 50)
+    rng = random.Random(2)
+    encoder = tokens.Encoder()
+    for _ in range(30):
+        some = [" ".join(rng.choice(["one", "two", "x" * 70, "longer!", str(rng.random())]) for _ in range(rng.randrange(30))) for _ in range(6)]
+        assert [ids.tolist() for ids in encoder.encode(some)] == whole(some)
+    assert encoder.held.n < 500
 
 
 def test_planes_round_trip():
