@@ -91,6 +91,14 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, letters in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def pieces_by_size(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of batch with about limit bytes of column each (one row at least)."""
     sizes = pa.compute.binary_length(batch.column(column)).to_pylist()

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_by_size, stored, text_of, trimmed
+from .common import free_name, pieces_by_size, stored, text_of, trimmed
 from .components import components
 from .shingles import mix, shingle_sets
 from .signature_tree import Forest, link
@@ -343,9 +343,11 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component of similar documents: the one of the smallest doc_id.
 
-    All columns stay as they were. Rows of one doc_id stay or go together.
+    All columns stay as they were, whatever their names. Rows of one doc_id
+    stay or go together; rows of a null doc_id or without words stay.
     """
     found = jaccard_components(docs, width, percent, doc_id, text)
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    name = free_name(docs, "gone")
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, docs[doc_id] == F.col("__gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, docs[doc_id] == F.col(name), "left_anti")

@@ -8,7 +8,9 @@ byte n-grams and text shapes is then trained on posterior labels of a bounded
 sample and scores every document.
 
 Null text counts as empty; an empty text scores 0 and isn't kept. Repeated
-rows get equal scores. An empty table gives an empty result.
+rows get equal scores; texts of any length are scored whole; a score equal to
+the threshold keeps its document. Only the id and the text are read, so other
+columns may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -165,7 +167,8 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[np.n
     df = docs.select(text_of(text)).withColumn("hash", F.xxhash64("text", F.lit(7)))
 
     def vote(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([votes(s) for s in _shapes(batch.column(0).to_pylist())], pa.int32()), batch.column(1)], names=["pattern", "hash"])
+        found = [votes(s) for p in pieces_by_size(batch, "text", BLOCK_BYTES) for s in _shapes(p.column(0).to_pylist())]
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), batch.column(1)], names=["pattern", "hash"])
 
     counts, distinct = {}, 0
     # Equal texts have equal patterns, so distinct texts add up over patterns; the estimate knows neither copies nor row order.

@@ -6,7 +6,9 @@ each host's rate is shrunk towards it, and documents of hosts whose shrunk
 rate stays above a limit are rejected along with those that fail themselves.
 
 Null text counts as empty; a null host is a host of its own; repeated rows
-count each time; an empty table gives an empty result.
+count each time; texts of any length are measured whole; a host whose rate
+equals the limit stays. Other columns aren't read and may have any name. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored, text_of
+from .common import free_name, map_texts, pieces_by_size, stored, text_of
 
 #: Words in a window that counts as repeated when it is found twice.
 WINDOW = 8
@@ -26,6 +28,8 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
+#: Bytes of text taken from a batch at once.
+BLOCK_BYTES = 1 << 22
 #: A host is rejected when its shrunk failure rate exceeds this.
 HOST_LIMIT = 0.5
 #: Prior weight when hosts don't differ by more than chance, in documents.
@@ -75,7 +79,8 @@ def document_stats(docs: DataFrame, keys: list[str], text: str = "text", min_wor
     """keys, the five counts and base_failed of every row of docs."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([measure(t) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, 5)
+        texts = (t for piece in pieces_by_size(batch, "text", BLOCK_BYTES) for t in piece.column("text").to_pylist())
+        found = np.array([measure(t) for t in texts], np.int64).reshape(-1, 5)
         failed = [fails(int(a), int(b), min_words, max_percent) for a, b in found[:, [0, 4]]]
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(found[:, i]) for i in range(5)), pa.array(failed)], names=[*keys, *(c.split()[0] for c in STATS.split(", ")), "base_failed"])
 
@@ -135,14 +140,18 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: s
 
 
 def reject(docs: DataFrame, host: str = "source", text: str = "text", limit: float = HOST_LIMIT) -> DataFrame:
-    """docs without the rejected documents, all columns as they were."""
+    """docs without the rejected documents, all columns as they were, whatever their names.
+
+    Null and empty texts have no words and go. An empty table stays empty.
+    """
     stats = document_stats(docs.select(F.col(host).alias("host"), F.col(text).alias("text")), ["host"])
     bad = stored(host_verdicts(stats, "host", limit).where(~F.col("host_kept")).select("host"), "hosts")
-    at = docs.columns.index(text)
+    names = docs.columns
+    at = names.index(text)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [measure(t or "") for t in batch.column(at).to_pylist()]
+        found = [measure(t or "") for piece in pieces_by_size(batch, names[at], BLOCK_BYTES) for t in piece.column(at).to_pylist()]
         return batch.filter(pa.array([not fails(m[0], m[4]) for m in found], pa.bool_()))
 
-    kept = map_texts(docs, work, docs.schema)
-    return kept.join(bad.withColumnRenamed("host", "__rejected_host"), kept[host].eqNullSafe(F.col("__rejected_host")), "left_anti")
+    kept, name = map_texts(docs, work, docs.schema), free_name(docs, "rejected_host")
+    return kept.join(bad.withColumnRenamed("host", name), kept[host].eqNullSafe(F.col(name)), "left_anti")

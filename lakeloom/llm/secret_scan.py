@@ -8,7 +8,10 @@ expression runs on the candidates only. A rule without a mandatory trigram
 runs on every text. Blocks are independent, so nothing is shuffled.
 
 Null text counts as empty and gives an empty row; repeated rows each give
-theirs; offsets are code points, ends exclusive.
+theirs; texts of any length are scanned whole; spans that begin together stand
+in the order of the rules; offsets are code points, ends exclusive. Only the
+id and the text are read, so other columns may have any name; redact keeps all
+columns, null texts too. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +43,8 @@ class Rule(NamedTuple):
     fold: bool = False
 
 
-# The base kinds, then well-known public token formats.
+# The base kinds, then well-known public token formats. None goes back over a run that it has read,
+# so that time grows with a text's length whatever it holds.
 BASE_RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
@@ -48,11 +52,11 @@ BASE_RULES = (
 )
 MORE_RULES = (
     Rule("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----)?"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("bearer", r"bearer\x20+[A-Za-z0-9+/_.=-]{20,}", fold=True),
-    Rule("url_login", r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]+@", fold=True),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{0,30}://[^\s/:@]++:[^\s/:@]++@", fold=True),
 )
 RULES = BASE_RULES + MORE_RULES
 

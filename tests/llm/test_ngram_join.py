@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lakeloom.llm import ngram_join, signature_tree
 from lakeloom.llm.components import components
@@ -136,3 +137,11 @@ def test_word_hashes_are_those_of_the_words():
         for w, h in zip(words, hashes[bounds[i] : bounds[i + 1]].tolist(), strict=True):
             assert seen.setdefault(w, h) == h
     assert len(set(seen.values())) == len(seen) > 500
+
+
+def test_one_of_each_with_clashing_names(spark):
+    rows = [(2, "a b c d e f", 1), (1, "A b c d e f", 1), (3, None, 1), (None, "a b c d e f", 1), (5, "", 1), (1, "A b c d e f", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone int").withColumn("component_id", F.lit("x"))
+    got = ngram_join.keep_one(docs)
+    assert got.columns == docs.columns and sorted(str(r.doc_id) for r in got.collect()) == ["1", "1", "3", "5", "None"]
+    assert ngram_join.keep_one(docs.limit(0)).count() == 0

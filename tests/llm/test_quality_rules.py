@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from lakeloom.llm import quality_rules as rules
 
 SCHEMA = "doc_id long, text string, source string, n_words string"
@@ -43,3 +45,12 @@ def test_a_host_of_failures_is_rejected(spark):
     assert verdict[1] and not verdict[5000]  # 5000 is good text on the bad host
     kept = rules.reject(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, v in verdict.items() if v}
+
+
+def test_reject_with_clashing_names(spark):
+    good = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, good, "h", "a"), (2, "few words", "h", "a"), (3, None, None, "a"), (4, good, None, "a"), (4, good, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rejected_host string").withColumn("REJECTED_HOST_", F.lit(1))
+    got = rules.reject(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 4, 4]
+    assert rules.reject(docs.limit(0)).count() == 0

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from lakeloom.llm import secret_scan as scan
 
@@ -42,3 +43,13 @@ def test_rows_and_redaction(spark):
     out = {r.doc_id: r for r in scan.redact(docs, n_chars="n_chars").collect()}
     assert out[1].text == 'é [assign]" [access]' and out[1].n_chars == len(out[1].text)
     assert out[4].text == "clean " * 40000 and out[2].text is None and out[2].n_chars is None
+
+
+def test_long_runs_take_linear_time():
+    scanner = scan.Scanner(scan.RULES)
+    texts = ["://" + "a" * 1_000_000, "x" * 1_000_000 + "://", "eyJ" * 330_000 + ".eyJ", "a://" * 250_000, "password " * 110_000]
+    began = time.process_time()
+    scanner.scan(texts)
+    assert time.process_time() - began < 60
+    (found,) = scanner.scan(["see https://user:pw@host and " + "z" * 90 + "ftp://a:b@c, eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl"])
+    assert [scan.RULES[k].kind for _, k, _ in found] == ["url_login", "url_login", "jwt"]
