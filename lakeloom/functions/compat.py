@@ -63,16 +63,22 @@ def int_mod(a: Column, b: Column) -> Column:
     return a % F.nullif(b, F.lit(0))
 
 
-def lenient_cast(x: Column, kind: str) -> Column:
-    """Cast by affinity; null where the value can't be read as the type."""
+def spark_type(kind: str) -> str:
+    """Spark's type for a declared one, by affinity."""
     affinity = {
         "integer": "bigint", "int": "bigint", "bigint": "bigint", "smallint": "bigint", "tinyint": "bigint", "serial": "bigint", "bigserial": "bigint", "boolean": "boolean",
         "varchar": "string", "text": "string", "char": "string", "character varying": "string",
         "real": "double", "double precision": "double", "double": "double", "float": "double", "numeric": "double", "decimal": "double", "bytea": "binary",
     }
-    if kind.lower() not in affinity:
+    name = kind.split("(")[0].strip().lower()
+    if name not in affinity:
         raise ValueError(f"unknown type {kind}")
-    return x.try_cast(affinity[kind.lower()])
+    return affinity[name]
+
+
+def lenient_cast(x: Column, kind: str) -> Column:
+    """Cast by affinity; null where the value can't be read as the type."""
+    return x.try_cast(spark_type(kind))
 
 
 def any_field_contains(df: DataFrame, needle: str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dml
 from ..operators.aggregates import rate_per_minute as with_rate
+from ..plans.statements import change
 from ..sources.tables import table
 from ..streaming import cdc, hlc, live
 from .registry import query
@@ -51,6 +52,42 @@ def dml_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dml.returning(_new(spark, sf_dir)[1], "c_custkey", "c_name")
 
 
+# The same as statements.
+def _changed(spark: SparkSession, sf_dir: str, sql: str, params: list | None = None):
+    return change(spark, sql, params, {"customer": ["c_custkey"]}, customer=table(spark, sf_dir, "customer"))
+
+
+@query(f"SELECT * FROM customer UNION ALL SELECT * FROM ({_NEW}) WHERE c_custkey NOT IN (SELECT c_custkey FROM customer)")
+def sql_insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changed(spark, sf_dir, f"INSERT INTO customer {_NEW} ON CONFLICT (c_custkey) DO NOTHING").rows
+
+
+@query(f"SELECT * FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM ({_NEW})) UNION ALL SELECT * FROM ({_NEW})")
+def sql_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changed(spark, sf_dir, f"INSERT OR REPLACE INTO customer (c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment) {_NEW}").rows
+
+
+@query("SELECT c_custkey, c_name || ' (WHERE)' AS c_name, c_nationkey, c_acctbal - 5 AS c_acctbal, c_mktsegment FROM customer WHERE c_nationkey > 10 UNION ALL SELECT * FROM customer WHERE NOT coalesce(c_nationkey > 10, false)")
+def sql_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changed(spark, sf_dir, "UPDATE customer SET c_name = c_name || ' (WHERE)', C_ACCTBAL = c_acctbal - ? WHERE c_nationkey > ?;", [5, 10]).rows
+
+
+@query("SELECT * FROM customer WHERE NOT coalesce(c_nationkey BETWEEN 3 AND 9 AND c_mktsegment <> 'BUILDING', false)")
+def sql_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changed(spark, sf_dir, "DELETE FROM customer WHERE c_nationkey BETWEEN $1 AND $2 AND c_mktsegment <> $3", [3, 9, "BUILDING"]).rows
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal < 0")
+def sql_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changed(spark, sf_dir, "DELETE FROM customer WHERE c_acctbal < 0 RETURNING c_custkey, c_name").touched
+
+
+@query("SELECT *, CAST(c_nationkey AS VARCHAR) AS c_nationkey FROM (SELECT c_custkey, c_name AS title, c_acctbal, c_mktsegment FROM customer) JOIN (SELECT c_custkey, c_nationkey FROM customer) USING (c_custkey)".replace("*, ", "c_custkey, title, c_acctbal, c_mktsegment, "))
+def sql_alter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    renamed = _changed(spark, sf_dir, 'ALTER TABLE customer RENAME COLUMN c_name TO "title"').rows
+    return change(spark, "ALTER TABLE t ALTER COLUMN c_nationkey TYPE VARCHAR(9)", t=renamed).rows
+
+
 @query("SELECT *, CAST(7 AS BIGINT) AS extra FROM region")
 def ddl_add_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dml.add_column(table(spark, sf_dir, "region"), "extra", "bigint", 7)

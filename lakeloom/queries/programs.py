@@ -119,9 +119,9 @@ def _summarise(rows: list[dict], args: object, emit) -> None:
 def call_binding_account_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run beside the data, partials combined by key and reduced to a row per account."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    found = partials(orders, ["o_orderkey"], 8, _summarise, max_emits=100)
-    split = found.select(F.split("key", ":")[0].cast("long").alias("account"), F.split("key", ":")[1].alias("what"), "partial")
-    return split.groupBy("account").agg(F.sum(F.when(F.col("what") == "count", F.col("partial"))).cast("long").alias("n"), F.sum(F.when(F.col("what") == "cents", F.col("partial"))).cast("long").alias("cents"))
+    found = partials(orders, ["o_orderkey"], None, _summarise, max_emits=100)
+    split = found.select(F.split("key", ":")[0].cast("long").alias("account"), F.split("key", ":")[1].alias("what"), "whole")
+    return split.groupBy("account").agg(F.sum(F.when(F.col("what") == "count", F.col("whole"))).cast("long").alias("n"), F.sum(F.when(F.col("what") == "cents", F.col("whole"))).cast("long").alias("cents"))
 
 
 @query("SELECT count(*) AS accounts, CAST(0 AS BIGINT) AS shared FROM (SELECT DISTINCT o_custkey FROM orders)")
@@ -132,15 +132,23 @@ def call_binding_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
         for key in {r["o_custkey"] for r in rows}:
             emit(str(key), 1)
 
-    found = partials(table(spark, sf_dir, "orders").select("o_custkey"), ["o_custkey"], 8, run, max_rows=4096, max_emits=4096)
+    found = partials(table(spark, sf_dir, "orders").select("o_custkey"), ["o_custkey"], None, run, max_rows=4096, max_emits=4096)
     return found.groupBy("key").agg(F.count_distinct("shard").alias("shards")).agg(F.count("*").alias("accounts"), F.count_if(F.col("shards") > 1).alias("shared"))
 
 
+#: Statements made for each rule: point lookups, lists up to 100 markers, limited ranges, and what is never bounded.
 _CALLS = [
-    ("SELECT * FROM users WHERE id = ?", "BOUNDED"), ("SELECT * FROM users WHERE id IN (?, ?)", "BOUNDED"), ("SELECT * FROM users WHERE id = ANY(?)", "BOUNDED"),
-    ("SELECT * FROM logs WHERE ts > ? LIMIT 10", "BOUNDED"), ("SELECT * FROM users", "UNBOUNDED"), ("SELECT * FROM users LIMIT 10", "UNBOUNDED"), ("SELECT * FROM o WHERE amount > ?", "UNBOUNDED"),
-    ("SELECT * FROM a JOIN b ON a.id = b.aid WHERE a.x = ?", "UNBOUNDED"), ("SELECT * FROM u WHERE id IN (SELECT uid FROM o)", "UNBOUNDED"),
-]
+    ("SELECT title, pages FROM books WHERE isbn = ?", "BOUNDED"),
+    (f"SELECT title FROM books WHERE isbn IN ({', '.join('?' * 100)})", "BOUNDED"),
+    (f"SELECT title FROM books WHERE isbn IN ({', '.join('?' * 101)})", "UNBOUNDED"),
+    ("SELECT due FROM loans WHERE reader = ANY(?)", "BOUNDED"),
+    ("SELECT reader FROM loans WHERE due BETWEEN ? AND ? ORDER BY due LIMIT 25", "BOUNDED"),
+    ("SELECT reader FROM loans WHERE due BETWEEN ? AND ?", "UNBOUNDED"),
+    ("SELECT count(*) AS n FROM shelves WHERE height >= ?", "UNBOUNDED"),
+    ("SELECT floor FROM shelves ORDER BY floor", "UNBOUNDED"),
+    ("SELECT title FROM books WHERE EXISTS (SELECT 1 FROM loans WHERE loans.isbn = books.isbn)", "UNBOUNDED"),
+    ("SELECT b.title FROM loans l LEFT JOIN books b ON b.isbn = l.isbn WHERE l.reader = ?", "UNBOUNDED"),
+]
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{v}')" for s, v in _CALLS) + ") AS v(statement, classification)")
@@ -177,22 +185,24 @@ def strip_partition_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner.drop(*(c for c in inner.columns if c.startswith("__")))
 
 
-@query("WITH q AS (SELECT i AS request, i % 32 AS entity FROM range(1024) t(i)), e AS (SELECT k // 8 AS entity, k % 8 AS ordinal, 100 * (k // 8) + k % 8 AS value FROM range(256) t(k)) SELECT count(*) AS n, CAST(sum(value) AS BIGINT) AS total FROM q JOIN e USING (entity)")
+@query("SELECT count(*) AS n, CAST(sum(100 * o_custkey + ordinal) AS BIGINT) AS total FROM orders JOIN (SELECT c_custkey, ordinal FROM customer, range(8) t(ordinal)) ON o_custkey = c_custkey")
 def bench_request_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """1024 requests joined to eight rows of each of 32 entities."""
-    requests = spark.range(1024).selectExpr("id AS request", "id % 32 AS entity")
-    rows = spark.range(256).selectExpr("id div 8 AS entity", "100 * (id div 8) + id % 8 AS value")
-    return requests.join(rows, "entity").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    """Every order joined to eight rows of its customer."""
+    requests = table(spark, sf_dir, "orders").select("o_custkey")
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", "explode(sequence(0, 7)) AS ordinal")
+    joined = requests.join(rows, F.col("o_custkey") == F.col("c_custkey"))
+    return joined.agg(F.count("*").alias("n"), F.sum(100 * F.col("o_custkey") + F.col("ordinal")).alias("total"))
 
 
-@query("WITH t AS (SELECT i AS id, 10 * i + CASE WHEN i < 512 THEN 100000 ELSE 0 END AS value FROM range(1024) r(i)), q AS (SELECT (k * k) % 1024 AS id FROM range(128) r(k)) SELECT count(*) AS n, CAST(sum(value) AS BIGINT) AS total, count(DISTINCT t.id) AS rows_ FROM q JOIN t USING (id)")
+@query("SELECT count(*) AS n, CAST(sum(10 * p_partkey + CASE WHEN p_size < 25 THEN 100000 ELSE 0 END) AS BIGINT) AS total, count(DISTINCT p_partkey) AS rows_ FROM lineitem JOIN part ON l_partkey = p_partkey")
 def bench_change_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half the rows updated, then 128 skewed lookups."""
+    """About half the parts updated, then one lookup for each line."""
     from ..operators.dml import update
 
-    rows = update(spark.range(1024).selectExpr("id", "10 * id AS value"), {"value": F.col("value") + 100000}, F.col("id") < 512, ["id"])
-    wanted = spark.range(128).selectExpr("(id * id) % 1024 AS id")
-    return wanted.join(rows, "id").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.count_distinct("id").alias("rows_"))
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size", "10 * p_partkey AS value")
+    rows = update(parts, {"value": F.col("value") + 100000}, F.col("p_size") < 25, ["p_partkey"])
+    found = table(spark, sf_dir, "lineitem").select("l_partkey").join(rows, F.col("l_partkey") == F.col("p_partkey"))
+    return found.agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.count_distinct("p_partkey").alias("rows_"))
 
 
 def decision_record(spark: SparkSession, *decisions: movement.Decision) -> str:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.dialect import parse_live
+from ..plans.dialect import outside_literals, parse_live, translate
 from ..plans.pruning import Reach, classify_predicate
 
 TTL_S, MAX_PER_CLIENT, CURSOR_S = 30.0, 100, 300.0
@@ -32,7 +32,9 @@ class LiveQuery:
     @property
     def predicate(self) -> Column:
         """The WHERE clause as a Column, true without one; LIKE takes letters in either case."""
-        return F.expr(re.sub(r"\bLIKE\b", "ILIKE", self.where, flags=re.I)) if self.where else F.lit(True)
+        if not self.where:
+            return F.lit(True)
+        return F.expr(translate(outside_literals(self.where, lambda t: re.sub(r"\bLIKE\b", "ILIKE", t, flags=re.I))))
 
     @property
     def signature(self) -> str:

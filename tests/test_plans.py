@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lakeloom.plans import diagnostics, dialect, pruning
+from lakeloom.plans import diagnostics, dialect, pruning, statements
 from lakeloom.plans.classifier import classify
 from lakeloom.plans.params import bind
 from lakeloom.sources.tables import table
@@ -25,6 +25,12 @@ def test_dialect(spark):
     for bad in ("SELECT EXTRACT(week FROM ts)", "SELECT DATE_TRUNC('week', ts)"):
         with pytest.raises(ValueError):
             dialect.translate(bad)
+    got = dialect.query(spark, "SELECT 'say \"hi\" it''s \\\\ a/b' AS t, 55/10 AS q, -55/10 AS m, 7/0 AS z, 5.5/2 AS d, 100/7/2 AS c, (1+8)/2 AS e, ?/2 AS p -- x/y", [9]).first()
+    assert got.t == 'say "hi" it\'s \\\\ a/b' and (got.q, got.m, got.z, float(got.d), got.c, got.e, got.p) == (5, -5, None, 2.75, 7, 4, 4)
+    got = dialect.query(spark, "SELECT COUNT(*), sum( x ) , SUM(x)/COUNT(*) AS mean, max(x) AS top FROM (SELECT explode(array(1, 2, 4)) AS x)")
+    assert got.columns == ["COUNT(*)", "SUM(x)", "mean", "top"] and tuple(got.first()) == (3, 7, 2, 4)
+    day, now, at = dialect.query(spark, "SELECT CURRENT_DATE, CURRENT_TIMESTAMP, CURRENT_TIME").first()
+    assert (len(day), len(now), len(at)) == (10, 19, 8) and now.startswith(day)
     assert dialect.parse_live(" live  select * from t ") == "select * from t"
     with pytest.raises(ValueError):
         dialect.parse_live("SELECT * FROM t")
@@ -38,8 +44,8 @@ def test_dialect(spark):
 @pytest.mark.parametrize(
     ("sql", "bounded"),
     [
-        ("SELECT * FROM u WHERE id = ?", True), ("SELECT * FROM u WHERE id IN (" + ",".join("?" * 100) + ")", True), ("SELECT * FROM u WHERE id IN (" + ",".join("?" * 101) + ")", False),
-        ("SELECT * FROM u WHERE a BETWEEN ? AND ?", False), ("SELECT * FROM u WHERE a BETWEEN ? AND ? LIMIT 5", True), ("SELECT * FROM u WHERE EXISTS (SELECT 1)", False),
+        ("SELECT due FROM loans WHERE copy = ? AND reader = ?", True), (f"SELECT due FROM loans WHERE copy IN ({'?, ' * 99}?)", True), (f"SELECT due FROM loans WHERE copy IN ({'?, ' * 100}?)", False),
+        ("SELECT copy FROM loans WHERE due < ?", False), ("SELECT copy FROM loans WHERE due < ? LIMIT 3", True), ("SELECT copy FROM loans WHERE reader IN (SELECT reader FROM fines)", False),
     ],
 )
 def test_nested_calls(sql, bounded):
@@ -51,6 +57,8 @@ def test_reach():
     assert pruning.classify_predicate("? = id", "id", [7]).values == (7,)
     assert pruning.classify_predicate("id IN ('a', 'b')", "id").values == ("a", "b")
     assert pruning.classify_predicate("id BETWEEN 1 AND 9 AND y = 2", "id")[2:] == (1, 9)
+    assert pruning.classify_predicate("id = ?", "id").shape == "scatter" == pruning.classify_predicate("id IN (1, ?)", "id").shape
+    assert pruning.partitions_reached(pruning.classify_predicate("id = ?", "id"), [("a", None, 5), ("b", 5, None)]) == ["a", "b"]
     assert pruning.classify_predicate("id = 1 OR x = 2", "id").shape == "scatter" == pruning.classify_predicate("x = 2", "id").shape
 
 
@@ -82,3 +90,23 @@ def test_plans_push_down_and_prune(spark):
     advice = diagnostics.advise("SELECT * FROM users u JOIN orders o ON u.id = o.customer_id WHERE u.email = ? ORDER BY o.order_date", {"users": [["email"], ["id"]]})
     assert advice["access"] == "index_scan" and {"table": "orders", "columns": ["customer_id"], "use": "join"} in advice["suggestions"]
     assert diagnostics.advise("SELECT * FROM users WHERE status = 1")["access"] == "full_scan"
+
+
+def test_statements_that_change_a_table(spark):
+    t = spark.createDataFrame([(1, "x", 10), (2, "y", None)], "id long, a string, b long")
+    do = lambda sql, *params: statements.change(spark, sql, list(params), {"t": ["id"]}, t=t)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    got = do("INSERT INTO t (id, a) VALUES (3, 'it''s RETURNING'), (?, ?) RETURNING id, a", 4, "q?")
+    assert rows(got.rows) == [(1, "x", 10), (2, "y", None), (3, "it's RETURNING", None), (4, "q?", None)] and rows(got.touched) == [(3, "it's RETURNING"), (4, "q?")]
+    got = do("INSERT OR IGNORE INTO t VALUES (1, 'z', 0), (5, 'w', 1) RETURNING *")
+    assert rows(got.rows) == [(1, "x", 10), (2, "y", None), (5, "w", 1)] and rows(got.touched) == [(5, "w", 1)]
+    got = do("INSERT INTO t VALUES (1, 'z', 0) ON CONFLICT (id) DO UPDATE SET a = excluded.a")
+    assert rows(got.rows) == [(1, "z", 0), (2, "y", None)]
+    got = do("UPDATE t SET b = b / 3, a = 'a, b = 1 WHERE' WHERE id = 1 RETURNING b")
+    assert rows(got.rows) == [(1, "a, b = 1 WHERE", 3.0), (2, "y", None)] and rows(got.touched) == [(3.0,)]
+    assert rows(do("DELETE FROM t WHERE b > 5").rows) == [(2, "y", None)] and rows(do("DELETE FROM t").rows) == []
+    assert do("ALTER TABLE t ADD COLUMN c INTEGER DEFAULT 7").rows.where("c = 7").count() == 2
+    assert do("ALTER TABLE t DROP COLUMN b").rows.columns == ["id", "a"] and do("CREATE INDEX i ON t (a)").rows.count() == 2
+    for bad in ("UPDATE t SET id = 1", "ALTER TABLE t DROP COLUMN id", "SELECT 1", "INSERT INTO t (z) VALUES (1)", "CREATE INDEX i ON t (z)", "INSERT INTO t (id) VALUES (1, 2)"):
+        with pytest.raises(ValueError):
+            do(bad)
