@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,19 +23,21 @@ def check_keys(target: DataFrame, key: list[str]) -> None:
         raise ValueError("a primary key occurs twice")
 
 
-def _one_per_key(rows: DataFrame, key: list[str], last: Column | None) -> DataFrame:
-    order = (last.desc(),) if last is not None else tuple(F.col(c).asc_nulls_first() for c in rows.columns)
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
+def one_per_key(rows: DataFrame, key: list[str], last: Column | None = None) -> DataFrame:
+    """Of rows with one key the greatest by last, or the first in column order; combined before they are shuffled."""
+    whole = F.struct(*rows.columns)
+    best = F.min(whole) if last is None else F.max_by(whole, last)
+    return rows.groupBy(*(F.col(k).alias(f"__{k}") for k in key)).agg(best.alias("__row")).select("__row.*")
 
 
 def insert_ignore(target: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key is new; of several with one key the first in column order."""
-    return insert(target, _one_per_key(rows, key, None).join(target.select(*key), key, "left_anti"))
+    return insert(target, one_per_key(rows, key).join(target.select(*key), key, "left_anti"))
 
 
 def upsert(target: DataFrame, rows: DataFrame, key: list[str], last: Column | None = None) -> DataFrame:
     """Whole rows replaced or added; last orders several incoming rows of one key, the greatest stays."""
-    new = _one_per_key(rows, key, last)
+    new = one_per_key(rows, key, last)
     return target.join(new.select(*key), key, "left_anti").select(*target.columns).unionByName(new, allowMissingColumns=True).select(*target.columns)
 
 
@@ -87,11 +90,11 @@ def alter_type(df: DataFrame, name: str, kind: str) -> DataFrame:
 
 
 class Snapshots:
-    """Atomic table versions: each write is a new folder, published by one new pointer file.
+    """Atomic table versions: each write is a folder of its own name, which one new pointer file publishes.
 
-    Readers see the version of the greatest pointer; a failed write leaves no
-    pointer. Writers must take turns (Hadoop's create-without-overwrite makes
-    the second of two racing writers fail).
+    Readers see the version of the greatest pointer that names a folder. Of
+    two writers that race for a version the second fails, as Hadoop creates a
+    pointer once only, and what it wrote is deleted; the published rows stay.
     """
 
     def __init__(self, spark, root: str):
@@ -102,20 +105,40 @@ class Snapshots:
         return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def versions(self) -> list[int]:
+        """The published versions."""
+        return sorted(v for v, size in self._pointers().items() if size)
+
+    def _pointers(self) -> dict[int, int]:
+        """Version → size of its pointer, 0 while it is being written."""
         at, fs = self._fs(f"{self.root}/_pointers")
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(at)) if fs.exists(at) else []
+        return {int(s.getPath().getName()): s.getLen() for s in fs.listStatus(at)} if fs.exists(at) else {}
+
+    def _folder(self, version: int) -> str:
+        at, fs = self._fs(f"{self.root}/_pointers/{version}")
+        stream = fs.open(at)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def read(self, version: int | None = None) -> DataFrame:
         """The table at a version, the newest by default."""
         known = self.versions()
         if version is None and not known or version is not None and version not in known:
             raise ValueError("no such version")
-        return self.spark.read.parquet(f"{self.root}/v{known[-1] if version is None else version}")
+        return self.spark.read.parquet(f"{self.root}/{self._folder(known[-1] if version is None else version)}")
 
     def commit(self, df: DataFrame) -> int:
         """Publish df as the next version."""
-        version = (self.versions() or [0])[-1] + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/v{version}")
+        version = max(self._pointers(), default=0) + 1
+        folder = f"v{version}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{folder}")
         at, fs = self._fs(f"{self.root}/_pointers/{version}")
-        fs.create(at, False).close()
+        try:
+            stream = fs.create(at, False)
+        except Exception:
+            fs.delete(self._fs(f"{self.root}/{folder}")[0], True)
+            raise
+        stream.write(bytearray(folder.encode()))
+        stream.close()
         return version

@@ -120,9 +120,10 @@ class Broadcasts:
 
 
 def bucket_of(key: Column, buckets: int = EXCHANGE_BUCKETS) -> Column:
-    """The exchange bucket of a text key: its 32-bit FNV-1a hash over characters, modulo buckets (in the JVM)."""
+    """The exchange bucket of a text key: its 32-bit FNV-1a hash over UTF-16 units, modulo buckets (in the JVM)."""
     start, prime, mod = 2166136261, 16777619, 1 << 32
-    hashed = F.aggregate(F.split(key, ""), F.lit(start).cast("long"), lambda h, c: F.when(c == "", h).otherwise((h.bitwiseXOR(F.ascii(c).cast("long")) * prime) % mod))
+    units = F.regexp_extract_all(F.hex(F.encode(key, "UTF-16BE")), F.lit("(....)"), 1)
+    hashed = F.aggregate(units, F.lit(start).cast("long"), lambda h, u: (h.bitwiseXOR(F.conv(u, 16, 10).cast("long")) * prime) % mod)
     return (hashed % buckets).cast("int")
 
 

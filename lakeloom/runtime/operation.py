@@ -5,23 +5,34 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.movement import Broadcasts, lookup
+from ..operators.movement import Broadcasts, lookup, size_in_bytes
 from ..plans.classifier import classify
 from ..plans.dialect import literal_statement, query
 from .budgets import BudgetExceeded, Budgets, ResultStream, Telemetry, Token, bounded_rows, rows_in_batches, within_wall
 
 #: Bounds of a distributed operation.
 MAX_SHARD_ROWS, MAX_EMITS, MAX_PARTIALS = 4096, 64, 1024
+#: Bytes of a shard when the size of a table decides.
+SHARD_BYTES = 64 << 20
 
 
-def partials(df: DataFrame, key: list[str], shards: int, run: Callable, args: object = None, max_rows: int = MAX_SHARD_ROWS, max_emits: int = MAX_EMITS) -> DataFrame:
+def shards_of(df: DataFrame, shard_bytes: int = SHARD_BYTES, least: int = 8) -> int:
+    """Shards for a table of Catalyst's size estimate."""
+    return max(least, -(-size_in_bytes(df) // shard_bytes))
+
+
+def partials(df: DataFrame, key: list[str], shards: int | None, run: Callable, args: object = None, max_rows: int = MAX_SHARD_ROWS, max_emits: int = MAX_EMITS) -> DataFrame:
     """shard, key and partial emitted by run(rows, args, emit) over each shard of a range partitioning by key.
 
+    Whole numbers come in the column whole instead, without a double's limit.
+    Without a number of shards there are as many as the table's size calls for.
+
     A shard's rows reach run in batches of at most max_rows, so a shard of any
     size is worked through in bounded memory; run must give partials that add
     up over batches. A failing shard fails the job.
@@ -33,34 +44,35 @@ def partials(df: DataFrame, key: list[str], shards: int, run: Callable, args: ob
         shard = TaskContext.get().partitionId()
         for frame in frames:
             for at in range(0, len(frame), max_rows):
-                out: list[tuple[int, str, float]] = []
+                out: list[tuple[int, str, float | None, Decimal | None]] = []
 
                 def emit(k: str, value: float, out=out) -> None:
                     if len(out) >= max_emits:
                         raise BudgetExceeded(f"more than {max_emits} emits")
                     if not isinstance(k, str) or isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value):
                         raise ValueError("a partial is a text key and a finite number")
-                    out.append((shard, k, float(value)))
+                    out.append((shard, k, None, Decimal(value)) if isinstance(value, int) else (shard, k, value, None))
 
                 run(frame.iloc[at : at + max_rows].to_dict("records"), args, emit)
-                yield pd.DataFrame(out, columns=["shard", "key", "partial"])
+                yield pd.DataFrame(out, columns=["shard", "key", "partial", "whole"])
 
-    return df.repartitionByRange(shards, *key).mapInPandas(work, "shard int, key string, partial double")
+    dealt = df.repartitionByRange(shards or shards_of(df), *key)
+    return dealt.mapInPandas(work, "shard int, key string, partial double, whole decimal(38,0)")
 
 
-def distributed(df: DataFrame, key: list[str], run: Callable, reduce: Callable, args: object = None, shards: int = 8, disjoint: bool = False, **bounds: int) -> object:
+def distributed(df: DataFrame, key: list[str], run: Callable, reduce: Callable, args: object = None, shards: int | None = None, disjoint: bool = False, **bounds: int) -> object:
     """reduce(partials, args) over the shards' partials, combined by key on the way.
 
     With disjoint, a key emitted by two shards is an error. At most
     MAX_PARTIALS combined partials reach the driver; more are an error.
     """
-    found = partials(df, key, shards, run, args, **bounds).groupBy("key").agg(F.sum("partial").alias("partial"), F.count_distinct("shard").alias("shards"))
+    found = partials(df, key, shards, run, args, **bounds).groupBy("key").agg(F.sum("partial").alias("partial"), F.sum("whole").alias("whole"), F.count_distinct("shard").alias("shards"))
     rows = found.limit(MAX_PARTIALS + 1).collect()
     if len(rows) > MAX_PARTIALS:
         raise BudgetExceeded(f"more than {MAX_PARTIALS} partials")
     if disjoint and (twice := [r.key for r in rows if r.shards > 1]):
         raise ValueError(f"shards share keys: {', '.join(sorted(twice)[:5])}")
-    return reduce({r.key: r.partial for r in rows}, args)
+    return reduce({r.key: int(r.whole) if r.partial is None else r.partial + float(r.whole or 0) for r in rows}, args)
 
 
 class Operation:
@@ -69,7 +81,7 @@ class Operation:
     def __init__(self, statement: str, run: Callable, reduce: Callable):
         self.statement, self.run, self.reduce = literal_statement(statement), run, reduce
 
-    def call(self, spark: SparkSession, key: list[str], args: object = None, shards: int = 8) -> object:
+    def call(self, spark: SparkSession, key: list[str], args: object = None, shards: int | None = None) -> object:
         return distributed(spark.sql(self.statement), key, self.run, self.reduce, args, shards)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 #: Data-movement threshold: sides up to this many bytes may be broadcast.
@@ -11,15 +9,14 @@ BROADCAST_LIMIT_BYTES = 256 * 1024
 
 
 def build_session(app: str = "lakeloom", cores: int | None = None, **conf: str) -> SparkSession:
-    """A local session for tests and benches; on a cluster pass nothing and let spark-submit decide."""
+    """A local session on so many cores for tests and benches; without a number spark-submit decides where and how wide."""
     builder = SparkSession.builder.appName(app)
-    if cores or "SPARK_MASTER" not in os.environ:
-        builder = builder.master(f"local[{cores or '*'}]")
+    if cores:
+        builder = builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", str(cores))
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.shuffle.partitions": str(cores or 8),
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | conf

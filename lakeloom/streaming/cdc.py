@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Marks rows of a merged table whose key was deleted; they keep the delete's stamp against later, older changes.
+TOMBSTONE = "_deleted"
 OPERATIONS = ("INSERT", "UPDATE", "DELETE", "UPSERT")
 
 
@@ -37,15 +39,26 @@ def apply_changes(changes: DataFrame, key: list[str], stamp: str, *tie: str, ope
 def merge_into(table: DataFrame, changes: DataFrame, key: list[str], stamp: str, operation: str = "operation") -> DataFrame:
     """A stamped table after changes: a change that is older than its row is stale; an equal one isn't.
 
-    Null fields of the winner are filled from the loser (a shallow merge);
-    deletes remove. Both sides are combined per key before any row moves on.
+    Null fields of the winner are filled from the loser (a shallow merge).
+    Deleted keys stay as tombstones with their stamps, so that a change that
+    comes late doesn't bring them back; current() leaves them out. Both sides
+    are combined per key before any row moves on.
     """
-    values = [c for c in table.columns if c not in (*key, stamp)]
-    rows = table.withColumn(operation, F.lit("UPSERT")).withColumn("__new", F.lit(0)).unionByName(changes.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    values = [c for c in table.columns if c not in (*key, stamp, TOMBSTONE)]
+    gone = F.col(TOMBSTONE) if TOMBSTONE in table.columns else F.lit(False)
+    old = table.withColumn(operation, F.when(gone, "DELETE").otherwise("UPSERT")).withColumn("__new", F.lit(0))
+    rows = old.drop(TOMBSTONE).unionByName(changes.withColumn("__new", F.lit(1)), allowMissingColumns=True)
     order = F.struct(stamp, "__new")
     filled = [F.max_by(c, F.when(F.col(c).isNotNull() & (F.col(operation) != "DELETE"), order)).alias(c) for c in values]
     out = rows.groupBy(*key).agg(F.max(stamp).alias(stamp), F.max_by(operation, order).alias("__last"), *filled)
-    return out.where("__last <> 'DELETE'").select(*table.columns)
+    deleted = F.col("__last") == "DELETE"
+    kept = (F.when(~deleted, F.col(c)).alias(c) if c in values else F.col(c) for c in table.columns if c != TOMBSTONE)
+    return out.select(*kept, deleted.alias(TOMBSTONE))
+
+
+def current(table: DataFrame) -> DataFrame:
+    """A merged table's rows without tombstones."""
+    return table.where(~F.col(TOMBSTONE)).drop(TOMBSTONE) if TOMBSTONE in table.columns else table
 
 
 def backfill(changes: DataFrame, key: list[str], stamp: str, columns: list[str]) -> DataFrame:
@@ -76,8 +89,9 @@ def as_of(changes: DataFrame, key: list[str], stamp: str, at: Column, operation:
 def start_merge(stream: DataFrame, snapshots, key: list[str], stamp: str, checkpoint: str, operation: str = "operation", **trigger):
     """Keep a versioned table (operators.dml.Snapshots) merged with a stream of changes.
 
-    Each micro-batch reads the newest version and publishes the next. The
-    merge is idempotent, so a batch that is run again changes nothing.
+    Each micro-batch reads the newest version and publishes the next, which
+    current() reads. The merge is idempotent, so a batch that is run again
+    changes nothing.
     """
 
     def merge(batch: DataFrame, _: int) -> None:

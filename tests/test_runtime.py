@@ -19,6 +19,15 @@ def test_partials_reduce_the_same_for_any_shards(spark):
     assert Operation("SELECT id, v FROM numbers WHERE id < 10", _count, lambda p, _: p["n"]).call(spark, ["id"]) == 10
 
 
+def test_whole_partials_keep_their_digits(spark):
+    def big(rows, args, emit):
+        emit("n", sum(2**53 + 1 for _ in rows))
+        emit("half", 0.5)
+
+    got = distributed(spark.range(5).toDF("id"), ["id"], big, lambda p, _: p, shards=2)
+    assert got["n"] == 5 * (2**53 + 1) and got["half"] >= 0.5
+
+
 def test_gates(spark):
     df = spark.range(100).selectExpr("id", "id AS v")
 
@@ -86,6 +95,7 @@ def test_live_queries(spark, tmp_path):
     q = live.LiveQuery("LIVE SELECT * FROM orders WHERE status = 'open' AND amount > 5")
     assert q.signature == live.LiveQuery("LIVE SELECT id FROM orders WHERE amount > 5 AND status = 'open'").signature
     assert live.LiveQuery("LIVE SELECT * FROM t WHERE id IN (1, 2)").reach("id").values == (1, 2)
+    assert spark.createDataFrame([("LIKE new",), ("like NEW",)], "name string").where(live.LiveQuery("LIVE SELECT * FROM t WHERE name = 'LIKE new'").predicate).count() == 1
     now = [0.0]
     subs = live.Subscriptions(30, 2, lambda: now[0])
     a, _ = subs.subscribe("c", "LIVE SELECT * FROM t"), subs.subscribe("c", "LIVE SELECT id FROM t")
