@@ -8,25 +8,29 @@
    route is a row per task. A second pass gathers the sets on those routes,
    each with its size and a parity sketch, whose differing bits bound the
    differing tokens from below and keep apart sets that share a passage only.
-   What the first pass found reaches the second as a filter of fixed size.
-   A route over a bound of sets is cut into chunks, each pair a task.
+   What the first pass found reaches the second as a filter sized from their
+   number, or, beyond a bound, by a join on the route.
 2. Subtrees. Components of what the sketches admit hold every similar pair.
-   A component over a bound of sets or bytes is cut into chunks, and every
-   pair of its chunks is a task of its own, so no task grows with a group.
+   A group over a bound, of a route's sets or of a component's, is cut into
+   chunks and linked in rounds: within each chunk, then between one set of each
+   class found there, then between what is left outside the group's largest
+   class and all its sets. Each set moves a few times, not once for each chunk,
+   and no task grows with a group.
 3. Signature trees. In each task nodes with OR-combined token bitmaps and size
    ranges are joined by dual traversal, which prunes node pairs by their
    greatest possible overlap; what is left is compared exactly.
 4. Components of the links found, spread to the exact copies.
 
 Null and empty texts, and texts without words, have no shingles and link with
-nothing. Rows of one doc_id are one node of the graph and each a row of the
+nothing. Texts are shingled whole. Only the id and the text are read, so other
+columns may have any name. Rows of one doc_id are one node of the graph and each a row of the
 result. Null doc_ids link with nothing. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +45,14 @@ from .signature_tree import Forest, link
 
 #: Bytes of text handled at once.
 BLOCK_BYTES = 1 << 21
-#: Sets, and bytes of sets, of one side of a tree join.
-CHUNK_SETS, CHUNK_BYTES = 2048, 16 << 20
+#: Sets, and bytes of sets, of one side of a task.
+CHUNK_SETS, CHUNK_BYTES = 512, 16 << 20
 #: Least bits of the parity sketches that keep documents on one route apart.
 LEAST_SKETCH_BITS = 512
 #: Route keys of a part that is searched for repeats at once, and keys a map task gathers before it ships them.
 PART_KEYS, SHIP_KEYS = 1 << 20, 1 << 19
-#: Bits, as a power of two, of the filter that admits routes of two sets or more: 16 MB, whatever the data.
-FILTER_BITS = 27
+#: Bits of the filter of routes for each of them, and most bits as a power of two (32 MB); beyond, routes are joined.
+FILTER_SHARE, FILTER_MOST = 32, 28
 #: Rows of small routes that share a task.
 TASK_ROWS = 1 << 16
 #: Most rows of a doc_id list that is broadcast, 16 bytes each; beyond it the join shuffles.
@@ -204,34 +208,55 @@ def _meetings(df: DataFrame, rows: DataFrame, firsts: DataFrame, width: int, per
             seen.append(keys)
             twice.append(keys[np.unpackbits(np.frombuffer(flags, np.uint8), count=n).astype(bool)])
         keys, count = np.unique(np.concatenate(seen), return_counts=True)
-        at = np.unique(np.union1d(keys[count > 1], np.concatenate(twice)) >> np.uint64(64 - FILTER_BITS))
-        first = int(at[0] >> np.uint64(3)) if len(at) else 0
-        slice_ = np.zeros(int(at[-1] >> np.uint64(3)) - first + 1 if len(at) else 0, np.uint8)
-        np.bitwise_or.at(slice_, (at >> np.uint64(3)).astype(np.int64) - first, (1 << (at & np.uint64(7)).astype(np.int64)).astype(np.uint8))
-        return pa.table({"first": pa.array([first], pa.int64()), "bits": pa.array([slice_.tobytes()], pa.binary())})
-
-    # A part's keys are a stretch of hash space, so its bits are a stretch of the filter, whose size is fixed.
-    table = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    slices = df.mapInArrow(trimmed(keys_of), "part int, keys binary, twice binary, n int").groupBy("part").applyInArrow(repeated, "first long, bits binary")
-    for r in stored(slices, "filter").toLocalIterator():
-        table[r.first : r.first + len(r.bits)] |= np.frombuffer(r.bits, np.uint8)
-    admitted = spark.sparkContext.broadcast(table.tobytes())
-    del table
+        keys = np.union1d(keys[count > 1], np.concatenate(twice))
+        return pa.table({"n": pa.array([len(keys)], pa.int64()), "keys": pa.array([keys.tobytes()], pa.binary())})
+
+    found = stored(df.mapInArrow(trimmed(keys_of), "part int, keys binary, twice binary, n int").groupBy("part").applyInArrow(repeated, "n long, keys binary"), "repeated")
+    n_keys = found.agg(F.sum("n")).first()[0] or 0
+    filter_bits = max(16, (FILTER_SHARE * n_keys - 1).bit_length()) if n_keys else 16
+
+    def slices(batches):
+        # A part's keys are a stretch of hash space, so its bits are a stretch of the filter.
+        for batch in batches:
+            for blob in batch.column("keys").to_pylist():
+                at = np.unique(np.frombuffer(blob, np.uint64) >> np.uint64(64 - filter_bits))
+                if len(at):
+                    first = int(at[0] >> np.uint64(3))
+                    bits = np.zeros(int(at[-1] >> np.uint64(3)) - first + 1, np.uint8)
+                    np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64) - first, (1 << (at & np.uint64(7)).astype(np.int64)).astype(np.uint8))
+                    yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([bits.tobytes()], pa.binary())], names=["first", "bits"])
+
+    def listed(batches):
+        for batch in batches:
+            for blob in batch.column("keys").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(blob, np.int64))], names=["k"])
+
+    admitted = None
+    if filter_bits <= FILTER_MOST:
+        table = np.zeros(1 << (filter_bits - 3), np.uint8)
+        for r in found.mapInArrow(slices, "first long, bits binary").toLocalIterator():
+            table[r.first : r.first + len(r.bits)] |= np.frombuffer(r.bits, np.uint8)
+        admitted = spark.sparkContext.broadcast(table.tobytes())
+        del table
 
     def members(batches):
-        bits = np.frombuffer(admitted.value, np.uint8)
+        bits = np.frombuffer(admitted.value, np.uint8) if admitted else None
         for piece, sets in _blocks(batches, width):
-            found = []
-            for keys in _routed(sets, percent):
-                at = keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-                found.append(keys[(bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0])
-            take = pa.array(np.repeat(np.arange(len(sets)), [len(k) for k in found]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), piece.column(0).take(take), pa.array([_digest(s) for s in sets], pa.binary()).take(take)], names=["key", "doc_id", "digest"])
+            taken = _routed(sets, percent)
+            if bits is not None:
+                at = [keys.view(np.uint64) >> np.uint64(64 - filter_bits) for keys in taken]
+                taken = [keys[(bits[(a >> np.uint64(3)).astype(np.int64)] >> (a & np.uint64(7)).astype(np.uint8)) & 1 > 0] for keys, a in zip(taken, at, strict=True)]
+            take = pa.array(np.repeat(np.arange(len(sets)), [len(k) for k in taken]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(taken)), piece.column(0).take(take), pa.array([_digest(s) for s in sets], pa.binary()).take(take)], names=["key", "doc_id", "digest"])
 
     # A doc_id can hold several sets: the tag says which of them takes the route.
     tag = F.xxhash64("digest").alias("tag")
-    on_routes = stored(df.mapInArrow(trimmed(members), "key long, doc_id long, digest binary").select("key", "doc_id", tag), "routes")
-    admitted.destroy()
+    on_routes = df.mapInArrow(trimmed(members), "key long, doc_id long, digest binary").select("key", "doc_id", tag)
+    if admitted is None:
+        on_routes = on_routes.join(found.mapInArrow(listed, "k long"), F.col("key") == F.col("k"), "left_semi")
+    on_routes = stored(on_routes, "routes")
+    if admitted is not None:
+        admitted.destroy()
     # Of routes with equal members one is enough: sums over members tell them apart, combined before they are shuffled.
     taken = on_routes.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("doc_id", "tag").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("doc_id", "tag", F.lit(1))).alias("x")).where("m > 1")
     one_each = stored(taken.groupBy("m", "s", "x").agg(F.min("key").alias("k")).select("k"), "kept")
@@ -240,44 +265,101 @@ def _meetings(df: DataFrame, rows: DataFrame, firsts: DataFrame, width: int, per
     first = firsts.select(F.col("digest").alias("fd"), "first")
     described = rows.join(first, (F.col("digest") == F.col("fd")) & (F.col("doc_id") == F.col("first")), "left_semi").select(F.col("doc_id").alias("d"), tag.alias("t"), F.col("n_shingles").alias("n"), "sketch")
     met = stored(met.join(described, (F.col("doc_id") == F.col("d")) & (F.col("tag") == F.col("t"))).select("key", "doc_id", "n", "sketch"), "met")
-    large = met.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("m")).where(F.col("m") > CHUNK_SETS)
-    large = stored(large.select("k", F.ceil(F.col("m") / CHUNK_SETS).cast("int").alias("chunks")), "large")
-    # Many small routes share a task; a large one is cut, and each pair of its chunks is a task.
+    large = stored(met.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("m")).where(F.col("m") > CHUNK_SETS), "large")
+    # Many small routes share a task; large ones are linked in rounds.
     tasks = max(1, -(-met.count() // TASK_ROWS))
-    met = met.join(large, F.col("key") == F.col("k"), "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("chunks")), F.lit(0)).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)) - 1)))
-    met = met.select(
-        "key", "doc_id", "n", "sketch", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
-        F.when(F.col("chunks").isNull(), F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other"))).alias("task"),
-    )
+    small = met.join(large, F.col("key") == F.col("k"), "left_anti").withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks)))
 
     def stars(table: pa.Table) -> pa.Table:
-        key, ids, n, chunk, i, j = (table.column(c).to_numpy() for c in ("key", "doc_id", "n", "chunk", "i", "j"))
+        key, ids, n = (table.column(c).to_numpy() for c in ("key", "doc_id", "n"))
         sketch = Sketches(table.column("sketch").to_pylist())
         # One forest for all routes here: what one has connected the next needn't compare.
         nodes, place = np.unique(ids, return_inverse=True)
         forest = Forest(len(nodes))
-        order = np.lexsort((ids, j, i, key))
-        new = (np.diff(key[order], prepend=0) != 0) | (np.diff(i[order], prepend=-1) != 0) | (np.diff(j[order], prepend=-1) != 0)
+        order = np.lexsort((ids, key))
+        new = np.diff(key[order], prepend=0) != 0
         new[:1] = True
         cuts = np.flatnonzero(new)
         size = np.diff([*cuts, len(order)])
         for g in sorted(np.flatnonzero(size > 2).tolist(), key=lambda g: -size[g]):
             some = order[cuts[g] : cuts[g] + size[g]]
-            _connect(forest, place[some], n[some], sketch.of(some, int(sketch.length[some].min())), percent, None if i[some[0]] == j[some[0]] else chunk[some])
+            _connect(forest, place[some], n[some], sketch.of(some, int(sketch.length[some].min())), percent)
         # Routes of two at once.
         a, b = order[cuts[size == 2]], order[cuts[size == 2] + 1]
         shorter = np.minimum(sketch.length[a], sketch.length[b])
         for length in np.unique(shorter).tolist():
             x, y = a[shorter == length], b[shorter == length]
-            fits = compatible(n[x], sketch.of(x, length), n[y], sketch.of(y, length), percent) & ((i[x] == j[x]) | (chunk[x] != chunk[y]))
+            fits = compatible(n[x], sketch.of(x, length), n[y], sketch.of(y, length), percent)
             for u, v in zip(place[x[fits]].tolist(), place[y[fits]].tolist(), strict=True):
                 forest.join(u, v)
         roots = forest.flat()
         at = np.flatnonzero(roots != np.arange(len(nodes)))
         return pa.table({"src": nodes[roots[at]], "dst": nodes[at]})
 
-    return met.groupBy("task").applyInArrow(stars, "src long, dst long").where("src <> dst").distinct()
+    def meet(table: pa.Table, forest: Forest, side: np.ndarray | None) -> None:
+        sketch = Sketches(table.column("sketch").to_pylist())
+        everyone = np.arange(table.num_rows)
+        _connect(forest, everyone, table.column("n").to_numpy(), sketch.of(everyone, int(sketch.length.min())), percent, side)
+
+    out = small.groupBy("task").applyInArrow(stars, "src long, dst long").where("src <> dst")
+    if not large.isEmpty():
+        rows = met.join(large.select("k"), F.col("key") == F.col("k")).select(F.col("key").alias("g"), F.col("doc_id").alias("node"), F.octet_length("sketch").cast("long").alias("bytes"), "n", "sketch")
+        out = out.union(_in_rounds(stored(rows, "crowds"), meet, ["n", "sketch"]))
+    return out.distinct()
+
+
+def _in_rounds(rows: DataFrame, kernel: Callable[[pa.Table, Forest, np.ndarray | None], None], payload: list[str]) -> DataFrame:
+    """src, dst: links among the nodes of large groups.
+
+    rows has g, node, bytes and payload. kernel joins, in the forest over a
+    table's rows, those that link, across sides if there are any. Every pair of
+    a group's nodes is compared in some task or known to be connected.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("node")  # smallest first, so that a root is its class's smallest
+        ids, label, side = (table.column(c).to_numpy() for c in ("node", "label", "side"))
+        forest = Forest(len(ids))
+        _, first, at = np.unique(label, return_index=True, return_inverse=True)
+        forest.parent[:] = first[at]
+        kernel(table, forest, side if (side != side[0]).any() else None)
+        roots = forest.flat()
+        return pa.table({"g": table.column("g"), "src": ids[roots], "dst": ids})
+
+    def linked(tasks: DataFrame, *key: str) -> DataFrame:
+        return tasks.select("g", *key, "node", "label", "side", *payload).groupBy("g", *key).applyInArrow(run, "g long, src long, dst long")
+
+    def parts(sized: DataFrame, name: str) -> DataFrame:
+        """For each group the number of chunks that its rows fill."""
+        filled = F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("bytes") / CHUNK_BYTES))
+        return sized.groupBy("g").agg(filled.cast("int").alias(name))
+
+    alone = F.lit(0).alias("side")
+    rows = rows.join(parts(rows, "chunks"), "g").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    within = stored(linked(rows.select("*", F.col("node").alias("label"), alone), "chunk"), "within")
+
+    heads = rows.join(within.select("g", F.col("src").alias("node")).distinct(), ["g", "node"], "left_semi")
+    heads = stored(heads.select("g", "node", "bytes", *payload), "heads")
+    heads = heads.join(parts(heads, "m"), "g").withColumn("c", F.pmod(F.xxhash64("node", F.lit(1)), F.col("m")).cast("int"))
+    heads = heads.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    heads = heads.withColumns({"i": F.least("c", "other"), "j": F.greatest("c", "other"), "label": F.col("node")})
+    between = linked(heads.withColumn("side", F.when(F.col("i") == F.col("j"), 0).otherwise((F.col("c") == F.col("j")).cast("int"))), "i", "j")
+    known = stored(within.union(between).where("src <> dst").select("src", "dst").distinct(), "known")
+
+    labels = components(known)
+    state = rows.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    state = stored(state.select("g", "node", "bytes", "chunk", "chunks", "label", *payload), "state")
+    largest = state.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    outside = stored(state.join(largest, "g").where("label <> main").drop("main"), "outside")
+    if outside.isEmpty():
+        return known
+    blocks = stored(parts(outside, "blocks"), "blocks")
+    outside = outside.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
+    outside = outside.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    inside = state.join(blocks, "g").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ["g", "chunk", "block", "node", "label", *payload]
+    tasks = outside.select(*columns, F.lit(0).alias("side")).unionByName(inside.select(*columns, F.lit(1).alias("side")))
+    return known.union(linked(tasks, "chunk", "block").where("src <> dst").select("src", "dst"))
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -303,11 +385,11 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
     nodes = components(pairs)
     members = stored(nodes.join(firsts.groupBy("first").agg(F.sum("n_shingles").alias("n")), nodes.node == F.col("first")).select("node", "component", "n"), "members")
     sizes = members.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).where("sets > 1")
-    chunks = F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("tokens") * 8 / CHUNK_BYTES)).cast("int")
-    placed = members.join(sizes.select("component", chunks.alias("chunks")), "component").select(F.col("node").alias("first"), "component", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
+    large = (F.col("sets") > CHUNK_SETS) | (F.col("tokens") * 8 > CHUNK_BYTES)
+    placed = members.join(sizes.select("component", large.alias("large")), "component").select(F.col("node").alias("first"), "component", "large")
     placed = stored(placed, "placed")
     few = placed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = df.join(F.broadcast(placed) if few else placed, df.doc_id == placed["first"]).select("doc_id", "text", "component", "chunks", "chunk")
+    texts = df.join(F.broadcast(placed) if few else placed, df.doc_id == placed["first"]).select("doc_id", "text", "component", "large")
     if not rows.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["doc_id", "text"])
 
@@ -315,24 +397,26 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
         for piece, sets in _blocks(batches, width):
             held = [i for i, s in enumerate(sets) if len(s)]
             kept = piece.take(pa.array(held, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), *kept.columns[2:], pa.array([sets[i].tobytes() for i in held], pa.binary())], names=["doc_id", "component", "chunks", "chunk", "tokens"])
+            yield pa.RecordBatch.from_arrays([kept.column(0), *kept.columns[2:], pa.array([sets[i].tobytes() for i in held], pa.binary())], names=["node", "g", "large", "tokens"])
 
-    sets = texts.mapInArrow(trimmed(collect_sets), "doc_id long, component long, chunks int, chunk int, tokens binary")
-    # Chunk c meets every chunk: task (least, greatest); one chunk alone is the task (c, c).
-    tasks = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("doc_id", "tokens", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    sets = texts.mapInArrow(trimmed(collect_sets), "node long, g long, large boolean, tokens binary")
+    crowded = not placed.where("large").isEmpty()
+    if crowded:
+        sets = stored(sets, "tokens")
 
     def join_trees(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_numpy()
-        found = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        # Smallest ids first, so that a root is its component's smallest.
-        order = np.argsort(ids, kind="stable")
-        ids, found = ids[order], [found[k] for k in order]
-        side = None if i == j else (table.column("chunk").to_numpy()[order] == j).astype(np.int64)
-        roots, _ = link(found, percent, side)
-        return pa.table({"src": ids[roots], "dst": ids})
-
-    links = tasks.groupBy("component", "i", "j").applyInArrow(join_trees, "src long, dst long").where("src <> dst")
+        table = table.combine_chunks().sort_by("node")  # smallest first, so that a root is its component's smallest
+        ids, forest = table.column("node").to_numpy(), Forest(table.num_rows)
+        tree_kernel(table, forest, None)
+        return pa.table({"src": ids[forest.flat()], "dst": ids})
+
+    def tree_kernel(table: pa.Table, forest: Forest, side: np.ndarray | None) -> None:
+        link([np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()], percent, side, forest)
+
+    links = sets.where("NOT large").groupBy("g").applyInArrow(join_trees, "src long, dst long").where("src <> dst")
+    if crowded:
+        crowds = sets.where("large").select("g", "node", F.octet_length("tokens").cast("long").alias("bytes"), "tokens")
+        links = links.union(_in_rounds(crowds, tree_kernel, ["tokens"]))
     labels = components(links.union(copies))
     return (
         rows.join(labels, rows.doc_id == labels.node, "left")

@@ -89,17 +89,17 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def link(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+def link(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, forest: Forest | None = None) -> tuple[np.ndarray, int]:
     """(roots of the components that links form among sets, pairs compared exactly).
 
     With side (0 or 1 for each set) only pairs across sides are sought. A pair
-    already connected isn't compared again.
+    already connected, in the given forest too, isn't compared again.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     maps = bitmaps(sets)
     spare = sizes - np.bitwise_count(maps).sum(1, dtype=np.int64)
-    forest, compared = Forest(n), 0
+    forest, compared = forest or Forest(n), 0
     everyone = np.arange(n)
     trees = [Tree(everyone, sizes, maps, spare)] * 2 if side is None else [Tree(everyone[side == s], sizes, maps, spare) for s in (0, 1) if (side == s).any()]
     if len(trees) < 2:

@@ -52,8 +52,10 @@ def corpus(seed, families=12):
 
 @pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
 def test_components_match_brute_force(spark, width, percent, monkeypatch):
-    for seed, sets in ((1, 2048), (2, 3)):  # with chunks of three sets, groups are split
+    # With chunks of three sets groups are linked in rounds; without a filter routes are joined.
+    for seed, sets, most in ((1, 512, 28), (2, 3, 0)):
         monkeypatch.setattr(ngram_join, "CHUNK_SETS", sets)
+        monkeypatch.setattr(ngram_join, "FILTER_MOST", most)
         rows = corpus(seed) + [(None, "lost row"), (6, "another text of document six"), (9, "same row twice"), (9, "same row twice")]
         df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, component int")
         got = ngram_join.jaccard_components(df.repartition(5), width, percent).collect()
@@ -145,3 +147,27 @@ def test_one_of_each_with_clashing_names(spark):
     got = ngram_join.keep_one(docs)
     assert got.columns == docs.columns and sorted(str(r.doc_id) for r in got.collect()) == ["1", "1", "3", "5", "None"]
     assert ngram_join.keep_one(docs.limit(0)).count() == 0
+
+
+def test_rounds_connect_what_all_pairs_do(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK_SETS", 5)
+    rng = np.random.default_rng(6)
+    near = lambda a, b: abs(a - b) <= 2
+    rows = [(g, 1000 * g + i, 8, int(x)) for g, top in ((1, 40), (2, 400), (3, 120)) for i, x in enumerate(rng.integers(0, top, 60))]
+
+    def kernel(table, forest, side):
+        x = table.column("x").to_pylist()
+        for i in range(len(x)):
+            for j in range(i):
+                if (side is None or side[i] != side[j]) and abs(x[i] - x[j]) <= 2:
+                    forest.join(i, j)
+
+    links = ngram_join._in_rounds(spark.createDataFrame(rows, "g long, node long, bytes long, x long"), kernel, ["x"])
+    got = {r.node: r.component for r in components(links).collect()}
+    label = {r[1]: r[1] for r in rows}
+    for _ in rows:
+        for a in rows:
+            for b in rows:
+                if a[0] == b[0] and near(a[3], b[3]):
+                    label[a[1]] = label[b[1]] = min(label[a[1]], label[b[1]])
+    assert {n: got.get(n, n) for n in label} == label
