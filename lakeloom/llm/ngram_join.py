@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, pieces_by_size, stored, text_of, trimmed
+from .common import bound_batches, free_name, pieces_by_size, stored, text_of, trimmed
 from .components import components
 from .shingles import mix, shingle_sets
 from .signature_tree import Forest, link
@@ -52,9 +52,9 @@ LEAST_SKETCH_BITS = 512
 #: Route keys of a part that is searched for repeats at once, and keys a map task gathers before it ships them.
 PART_KEYS, SHIP_KEYS = 1 << 20, 1 << 19
 #: Bits of the filter of routes for each of them, and most bits as a power of two (32 MB); beyond, routes are joined.
-FILTER_SHARE, FILTER_MOST = 32, 28
+FILTER_SHARE, FILTER_MOST = 16, 28
 #: Rows of small routes that share a task.
-TASK_ROWS = 1 << 16
+TASK_ROWS = 1 << 13
 #: Most rows of a doc_id list that is broadcast, 16 bytes each; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -368,6 +368,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, doc_i
     Rows link when 100 * intersection >= percent * union of their sets of
     width-word shingles; component_id is the smallest doc_id reachable.
     """
+    bound_batches(docs.sparkSession)
     df = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text))
 
     def describe(batches):

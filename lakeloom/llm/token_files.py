@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OncePerTask, OncePerWorker, pieces_by_size, stored, text_of, trimmed
+from .common import OncePerTask, OncePerWorker, bound_batches, pieces_by_size, stored, text_of, trimmed
 from .tokens import Encoder
 
 #: Ids in a full block.
@@ -106,6 +106,7 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
         if n_held:
             yield full()
 
+    bound_batches(docs.sparkSession)
     ordered.mapInArrow(trimmed(run), schema).write.option("compression", "uncompressed").parquet(path)
 
 

@@ -52,3 +52,19 @@ def test_each_stage_against_brute_force(spark):
             assert after.columns == docs.columns
         before, out = after, kept
     assert len(corpus_pipeline.run(spark, DATA).collect()) == len(out)
+
+
+def test_edge_rows_pass_through_all_stages(spark, tmp_path):
+    good = [" ".join(f"{w}{i} the house and garden of the town, {w} was there." for i in range(12)) for w in ("red", "blue", "green")]
+    rows = [
+        (1, good[0], "en", "a.example", 1), (2, good[0], "en", "a.example", 1), (3, good[1] + " token=abcdef0123456789", None, None, None), (4, None, "en", "a.example", 0),
+        (5, "", "en", "a.example", 0), (6, good[2], "en", "b.example", 7), (6, good[2], "en", "b.example", 7), (None, good[1][::-1], "en", "b.example", 7), (8, "few words", "en", "b.example", 9),
+        (9, good[2] + " and more of it " + "x" * 300_000, "en", "b.example", 7),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    docs.write.parquet(str(tmp_path / "some" / "documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "some")).collect()}
+    assert {1, 3, 6} <= got and not got & {2, 4, 5, 8}
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
