@@ -62,7 +62,17 @@ def test_collisions_are_drawn_again(spark):
 
 def test_every_entity_goes_and_nothing_else(spark):
     rng = random.Random(4)
-    pattern = regex.compile(sur.PATTERN)
+    numbers = regex.compile(sur.PATTERN)
+    word = r"\p{Lu}\p{L}+"
+
+    def find(t):
+        """Mails and numbers, and the words of names by rules of this test's own."""
+        names = set()
+        for rule in (rf"(?<![\p{{L}}\p{{N}}])(?:Mr|Frau)\.? ({word})", rf"(?<![\p{{L}}\p{{N}}])(?:Mr|Frau)\.? {word} ({word})", rf"(?<![\p{{L}}\p{{N}}])(Eva) {word}", rf"(?<![\p{{L}}\p{{N}}])Eva ({word})"):
+            names.update(m[1] for m in regex.finditer(rule, t))
+        every = regex.finditer(rf"{sur.PATTERN}|(?<![\p{{L}}\p{{N}}]){word}", t)
+        return [m for m in every if not m[0][0].isupper() or "@" in m[0] or m[0] in names]
+
     bits = ["the ", "house.\n", "1234", "a@b", "x.1@mail.example.net ", "+1 (222) 555-0101", "10.0.0.1", " 9582442921002355 ", "AKIA0123", "Mr. ", "Bob", " 12-34", "555-11-2222", "é", ", ", "Frau Eva Lang "]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(200)] + [None, "", "clean prose only. " * 9, "y" * 200_000, "a.b" * 50_000]
     got, again = run(spark, texts), run(spark, list(reversed(texts)))
@@ -74,7 +84,7 @@ def test_every_entity_goes_and_nothing_else(spark):
             continue
         parts, found = [], []
         at = 0
-        for m in pattern.finditer(t):
+        for m in find(t):
             parts.append(t[at : m.start()])
             found.append(m[0])
             at = m.end()
@@ -86,7 +96,7 @@ def test_every_entity_goes_and_nothing_else(spark):
             rest = rest[rest.index(p) + len(p) :] if k else rest[len(p) :]
         for f in found:
             if "@" in f or sum(c.isdigit() for c in f) > 8:
-                assert f not in [m[0] for m in pattern.finditer(new)]
+                assert f not in [m[0] for m in numbers.finditer(new)]
                 seen[f].add(i)
         assert again[len(texts) - 1 - i] == (new, n)
     assert len(seen) > 3
@@ -103,3 +113,70 @@ def test_long_names_are_replaced_whole(spark):
     names = [w.strip(".") for w in got.text.split() if len(w) > 30]
     assert got.n_entities == 4 and len(set(names)) == 3
     assert not any(end in got.text for end in ("wxyz", "wzyx", "wyyy"))
+
+
+def test_untitled_mentions_gender_and_scripts(spark):
+    texts = [
+        "Mr. Xavier Smith wrote. Smith's note: SMITH and Xavier agree; the smith does not. Smithy is another.",
+        "Frau Ximena Müller-Lang kam, später Ximena. Dr. Müller-Lang auch.",
+        "John Wayland came. Wayland left, John stayed.",
+        "John came. Wayland left. Xavier too.",
+        "Mr. 李小龙 and السيدة فاطمة and श्री मोहन and господин Иванов; Иванов.",
+    ]
+    got = {i: t for i, (t, _) in run(spark, texts).items()}
+    first = re.fullmatch(r"Mr\. (\w+) (\w+) wrote\. (\w+)'s note: (\w+) and (\w+) agree; the smith does not\. Smithy is another\.", got[0]).groups()
+    assert first[0] == first[4] != "Xavier" and first[0].endswith("n") and first[1] == first[2] == first[3].capitalize() != "Smith" and first[3].isupper()
+    second = re.fullmatch(r"Frau (\w+) ([\w-]+) kam, später (\w+)\. Dr\. ([\w-]+) auch\.", got[1]).groups()
+    assert second[0] == second[2] != "Ximena" and second[0].endswith("a") and second[1] == second[3] and re.fullmatch("[A-Z][a-z]+-[A-Z][a-z]+", second[1])
+    third = re.fullmatch(r"(\w+) (\w+) came\. (\w+) left, (\w+) stayed\.", got[2]).groups()
+    assert third[0] == third[3] and third[0].lower() in sur.MALE and third[1] == third[2] != "Wayland"
+    assert got[3] == texts[3]  # nothing there says that these are names
+    m = regex.fullmatch(r"Mr\. (\p{IsHan}+) and السيدة ([\p{L}\p{M}]+) and श्री ([\p{L}\p{M}]+) and господин (\p{L}+); (\p{L}+)\.", got[4])
+    assert m and m[1] != "李小龙" and len(m[1]) == 3 and regex.fullmatch(r"\p{IsArabic}+", m[2]) and m[2] != "فاطمة" and regex.fullmatch(r"\p{IsDevanagari}+", m[3]) and m[3] != "मोहन"
+    assert m[4] == m[5] != "Иванов" and regex.fullmatch(r"\p{IsCyrillic}{6}", m[4])
+
+
+def test_given_names_avoid_real_ones_and_follow_the_key(spark):
+    everyone = spark.createDataFrame([(0, " ".join(f"Dr {n.capitalize()} Q{n}." for n in (*sur.MALE, *sur.FEMALE)))], "doc_id long, text string")
+    drawn = {r.canon: r.core for r in sur.draws(sur.entities(everyone), KEY).where("kind IN ('male', 'female')").collect()}
+    assert len(drawn) == len(set(drawn.values())) == 52 and not set(drawn.values()) & {*sur.MALE, *sur.FEMALE}
+    some = spark.createDataFrame([(0, "Dr John Q and Dr Paul Q and Dr Mary Q")], "doc_id long, text string")
+    keys = [{r.canon: r.core for r in sur.draws(sur.entities(some), k).where("kind <> 'name'").collect()} for k in ("a", "b", "c")]
+    steps = {(sur.MALE.index(k["john"]) - sur.MALE.index("john")) % 26 - (sur.MALE.index(k["paul"]) - sur.MALE.index("paul")) % 26 for k in keys}
+    assert all(k["john"] in sur.MALE and k["mary"] in sur.FEMALE for k in keys) and steps != {0}
+
+
+def test_the_key_stays_out_of_plans(spark):
+    df = spark.createDataFrame([(1, "Mr. Bob at bob@example.org")], "doc_id long, text string")
+    out = sur.replace_entities(df, "much too secret")
+    assert "much too secret" not in out._jdf.queryExecution().toString() and "bob" not in out.first().text.lower()
+
+
+def test_numbers_by_a_draw_of_this_test(spark):
+    from hashlib import sha256
+
+    def number(*parts):
+        return int(sha256("|".join(map(str, (KEY, *parts))).encode()).hexdigest()[:12], 16)
+
+    def nine(d, draw):
+        left, right = int(d[:4]), int(d[4:])
+        for i in range(1, 9):
+            if i % 2 == 0:
+                left = (left + number(f"ssn{draw}#9", i, right)) % 10**4
+            else:
+                right = (right + number(f"ssn{draw}#9", i, left)) % 10**5
+        return f"{left:04d}{right:05d}"
+
+    rng = random.Random(8)
+    real = sorted({f"{rng.randrange(10**9):09d}" for _ in range(150)})
+    dashed = [f"{d[:3]}-{d[3:5]}-{d[5:]}" for d in real]
+    got = run(spark, [f"no. {d}" for d in dashed])
+    want = [nine(d, 0) for d in real]
+    assert len(set(want)) == len(real) and not set(want) & set(real)  # a bijection; none drawn again here
+    assert [got[i][0] for i in range(len(real))] == [f"no. {w[:3]}-{w[3:5]}-{w[5:]}" for w in want]
+
+
+def test_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "Mr. Bob and 555-11-2222", "a", "b", "c", "d"), (2, None, "a", "b", "c", "d")], "doc_id long, text string, names string, m string, digest string, __key string")
+    got = {r.doc_id: r for r in sur.replace_entities(df, KEY).collect()}
+    assert got[1].n_entities == 2 and got[2].text is None and got[2].n_entities == 0
