@@ -209,8 +209,12 @@ def _dressed(kind: str, m: str, value: str) -> str:
 
 
 def keyed(df: DataFrame, key: str) -> DataFrame:
-    """df with the key in a column, without the key in the plan's text."""
-    return df.withColumn(KEY, df.sparkSession.createDataFrame([(key,)], "k string").scalar())
+    """df with the key in a column, without the key in the plan's text: a local table made in the JVM, read as a subquery."""
+    spark = df.sparkSession
+    held = spark._jvm.java.util.ArrayList()
+    held.add(key)
+    table = spark._jsparkSession.createDataset(held, spark._jvm.org.apache.spark.sql.Encoders.STRING()).toDF()
+    return df.withColumn(KEY, DataFrame(table, spark).scalar())
 
 
 def mentioned(rows: DataFrame) -> DataFrame:
