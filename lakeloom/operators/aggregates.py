@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,32 @@ def rate_per_minute(df: DataFrame, counter: str, at_ms: str, *group: str) -> Dat
     w = Window.partitionBy(*group).orderBy(at_ms, counter)
     grown, passed = F.col(counter) - F.lag(counter).over(w), F.col(at_ms) - F.lag(at_ms).over(w)
     return df.withColumn("per_minute", F.when((grown > 0) & (passed > 0), grown * F.lit(60000.0) / passed).otherwise(F.lit(0.0)))
+
+
+def numeric_aware(column: str, descending: bool = False) -> list[Column]:
+    """Sort keys for text that may be numbers: numbers by value, then other text, nulls last either way."""
+    text = F.col(column).cast("string")
+    number = F.trim(text).try_cast("double")
+    if descending:
+        return [text.isNull(), number.isNotNull(), number.desc(), text.desc()]
+    return [text.isNull(), number.isNull(), number.asc(), text.asc()]
+
+
+class ChunkStats:
+    """Rows, bytes (as JSON) and chunks that pass through a frame, counted by the job that reads it."""
+
+    def __init__(self, chunk: int = 1000):
+        self.chunk = chunk
+        self.reset()
+
+    def reset(self) -> None:
+        self._seen = Observation()
+
+    def watch(self, df: DataFrame) -> DataFrame:
+        size = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))).cast("long")
+        return df.observe(self._seen, F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes"))
+
+    def get(self) -> dict[str, int]:
+        """Once a job has read the frame; it waits for one."""
+        rows, size = self._seen.get["rows"], self._seen.get["bytes"] or 0
+        return {"total_rows": rows, "estimated_bytes": size, "chunk_count": -(-rows // self.chunk)}

@@ -154,6 +154,23 @@ def with_continuation(rows: DataFrame, key: str, order: list[str], limit: int =
     return numbered.join(last, F.col(key).eqNullSafe(F.col("__k"))).withColumn("token", token).drop("__k", "__last")
 
 
+def place_in_order(rows: DataFrame, order: str, width: int = 4096) -> DataFrame:
+    """rows with __place: their 0-based place by a column of whole numbers, nulls first, ties in any order.
+
+    Places come from counts per range of width keys and per 4096 such ranges,
+    so a task ranks one range's rows and no task sees all ranges.
+    """
+    wide = F.floor(F.col(order) / width).cast("long")
+    far = F.floor(F.col("__range") / 4096).cast("long")
+    counts = rows.groupBy(wide.alias("__range")).agg(F.count("*").alias("__n")).withColumn("__far", far)
+    fars = counts.groupBy("__far").agg(F.sum("__n").alias("__all")).selectExpr("__far AS __f", "sum(__all) OVER (ORDER BY __far) - __all AS __before")
+    near = counts.withColumn("__in", F.expr("sum(__n) OVER (PARTITION BY __far ORDER BY __range) - __n"))
+    starts = near.join(fars, F.col("__far").eqNullSafe(F.col("__f"))).select(F.col("__range").alias("__r"), (F.col("__before") + F.col("__in")).alias("__base"))
+    ranked = rows.withColumn("__range", wide).withColumn("__k", F.row_number().over(Window.partitionBy("__range").orderBy(order)) - 1)
+    placed = ranked.join(starts, F.col("__range").eqNullSafe(F.col("__r")))
+    return placed.withColumn("__place", F.col("__base") + F.col("__k")).drop("__range", "__k", "__r", "__base")
+
+
 def dedupe_lineage(rows: DataFrame, order: list[str], lineage: str = "lineage_id", stage: str = "stage_id") -> DataFrame:
     """One row of each (lineage, stage): the first in order; a retry gives what was stored."""
     others = [c for c in rows.columns if c not in (lineage, stage)]

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame
 
+from .classifier import classify
+
 
 def plan_text(df: DataFrame) -> str:
     """The formatted physical plan."""
@@ -61,3 +63,9 @@ def advise(sql: str, indexes: dict[str, list[list[str]]] | None = None) -> dict:
         "usable": usable,
         "suggestions": [{"table": t, "columns": [c], "use": use} for t, c, use in wanted if (t, c) not in served],
     }
+
+
+def call_report(statements: list[str]) -> dict:
+    """How many statements may be nested calls, how many are rejected, and which."""
+    rejected = [s for s in statements if classify(s).classification != "BOUNDED"]
+    return {"bounded": len(statements) - len(rejected), "rejected": len(rejected), "statements": rejected}

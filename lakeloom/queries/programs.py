@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import movement
+from ..operators.aggregates import numeric_aware
 from ..plans.classifier import classify
 from ..plans.dialect import query as dialect_query
+from ..plans.logs import LogSearch, since
 from ..runtime.budgets import prefix_within
-from ..runtime.operation import partials
+from ..runtime.operation import partials, reduced, staged
 from ..session import BROADCAST_LIMIT_BYTES
 from ..sources.tables import table
 from .registry import query
@@ -50,11 +53,32 @@ def call_iterator(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT batch, count(*) AS n, min(o_orderkey) AS first FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS batch FROM orders) GROUP BY batch")
 def stage_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of 1000 orders by key. Places come from counts per key range, so no task ranks all rows."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey").withColumn("range", F.floor(F.col("o_orderkey") / 4096).cast("long"))
-    starts = orders.groupBy("range").agg(F.count("*").alias("n")).selectExpr("range AS r", "sum(n) OVER (ORDER BY range) - n AS base")
-    placed = orders.selectExpr("*", "row_number() OVER (PARTITION BY range ORDER BY o_orderkey) - 1 AS k").join(starts, F.col("range") == F.col("r"))
-    return placed.groupBy(F.expr("(base + k) div 1000").alias("batch")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
+    """A handler runs beside the data for each batch of 1000 orders by key."""
+
+    def handler(batch: int, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"batch": [batch], "n": [len(rows)], "first": [rows["o_orderkey"].iloc[0]]})
+
+    return staged(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", handler, "batch long, n long, first long")
+
+
+@query("SELECT event_type, chunk, count(*) AS n, CAST(sum(length(props)) AS BIGINT) AS bytes, chunk = max(chunk) OVER (PARTITION BY event_type) AS done FROM (SELECT event_type, props, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 10000 AS chunk FROM events) GROUP BY event_type, chunk")
+def reduce_handler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's handler for each key, in chunks of 10 000 records."""
+
+    def handler(key: str, records: pd.DataFrame, chunk: int, token: str | None) -> pd.DataFrame:
+        size = records["props"].str.len().fillna(0).sum()
+        return pd.DataFrame({"event_type": [key], "chunk": [chunk], "n": [len(records)], "bytes": [int(size)], "done": [token is None]})
+
+    events = table(spark, sf_dir, "events").select("event_type", "event_id", "props")
+    return reduced(events, "event_type", ["event_id"], handler, "event_type string, chunk long, n long, bytes long, done boolean")
+
+
+@query("SELECT v, row_number() OVER (ORDER BY TRY_CAST(v AS DOUBLE) IS NULL, TRY_CAST(v AS DOUBLE), v) AS place FROM (SELECT CAST(p_size AS VARCHAR) AS v FROM part UNION SELECT p_brand FROM part)")
+def sort_numeric_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct sizes and brands as text: numbers by value, then the rest."""
+    part = table(spark, sf_dir, "part")
+    values = part.select(F.col("p_size").cast("string").alias("v")).union(part.select("p_brand")).distinct()
+    return values.withColumn("place", F.row_number().over(Window.orderBy(*numeric_aware("v"))).cast("long"))
 
 
 @query("SELECT n_name, CAST(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(n_name, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296) % 16 AS INT) AS bucket FROM nation")
@@ -92,8 +116,9 @@ def dedupe_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT ts, event_id, event_type, props FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00' AND event_type = 'click' AND props LIKE '%1%' ORDER BY ts DESC, event_id DESC LIMIT 200")
 def log_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sql = "SELECT ts, event_id, event_type, props FROM events WHERE ts >= CAST(?1 AS TIMESTAMP_NTZ) AND ts <= CAST(?2 AS TIMESTAMP_NTZ) AND event_type = ?3 AND props LIKE ?4 ORDER BY ts DESC, event_id DESC LIMIT 200"
-    return dialect_query(spark, sql, ["2024-01-05 00:00:00", "2024-01-20 00:00:00", "click", "%1%"], events=table(spark, sf_dir, "events"))
+    at = datetime(2024, 1, 20)
+    search = LogSearch("events", (("event_type", "click"), ("user_id", None)), since("-15d", at), at, "1", "props", ("ts", "event_id"), "ts, event_id, event_type, props")
+    return dialect_query(spark, *search.statement(), events=table(spark, sf_dir, "events"))
 
 
 @query("SELECT user_id % 10 AS service, length(event_type) % 3 AS part, count(*) FILTER (event_type <> 'purchase') AS read, count(*) FILTER (event_type = 'purchase') AS write FROM events GROUP BY ALL")

@@ -7,6 +7,7 @@ import statistics
 import threading
 import time
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -129,13 +130,42 @@ class Telemetry:
         count, total, low, high = self.seen.get(primitive, (0, 0, float("inf"), 0.0))
         self.seen[primitive] = [count + 1, total + n_bytes, min(low, seconds), max(high, seconds)]
 
-    def timed(self, primitive: str, work: Callable):
+    def timed(self, primitive: str, work: Callable, size: Callable[[object], int] | None = None):
+        """work's result, with its time and, by size(result), its bytes."""
         began = time.monotonic()
         out = work()
-        self.record(primitive, time.monotonic() - began)
+        self.record(primitive, time.monotonic() - began, size(out) if size else 0)
         return out
 
 
+class AccessCounts:
+    """Reads and writes counted by service and partition; a snapshot that couldn't be delivered is merged back."""
+
+    KINDS = ("read", "write")
+
+    def __init__(self):
+        self.counts: Counter[tuple[str, str, str]] = Counter()
+
+    def record(self, service: str, partitions: list[str], kind: str) -> None:
+        """Count an access to each partition; without a service, or of another kind, none."""
+        if service and kind in self.KINDS:
+            self.counts.update((service, p, kind) for p in partitions if p)
+
+    def snapshot(self) -> Counter:
+        """What was counted; counting starts anew."""
+        out, self.counts = self.counts, Counter()
+        return out
+
+    def merge(self, snapshot: Counter | None) -> None:
+        self.counts += Counter(snapshot or {})
+
+    def frame(self, spark) -> DataFrame:
+        """service, part, read and write of every pair seen."""
+        pairs = sorted({(s, p) for s, p, _ in self.counts})
+        rows = [(s, p, *(self.counts[s, p, k] for k in self.KINDS)) for s, p in pairs]
+        return spark.createDataFrame(rows, "service string, part string, read long, write long")
+
+
 def stragglers(latencies: dict[str, float], factor: float = 2.0, floor: float = 0.0) -> list[tuple[str, float]]:
     """(name, excess) of those slower than factor times the median, most first; none before two are known."""
     if len(latencies) < 2:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.movement import Broadcasts, lookup, size_in_bytes
+from ..operators.movement import GROUP_RECORDS, Broadcasts, lookup, place_in_order, size_in_bytes, with_continuation
 from ..plans.classifier import classify
 from ..plans.dialect import literal_statement, query
 from .budgets import BudgetExceeded, Budgets, ResultStream, Telemetry, Token, bounded_rows, rows_in_batches, within_wall
@@ -75,6 +76,36 @@ def distributed(df: DataFrame, key: list[str], run: Callable, reduce: Callable,
     return reduce({r.key: int(r.whole) if r.partial is None else r.partial + float(r.whole or 0) for r in rows}, args)
 
 
+def staged(df: DataFrame, order: str, handler: Callable[[int, pd.DataFrame], pd.DataFrame], schema: str, batch: int = 1000, width: int = 4096) -> DataFrame:
+    """handler(batch number, rows) for each batch of rows by a column of whole numbers, on executors.
+
+    Every batch but the last has exactly batch rows, in order; results carry
+    what handler gives them, so a batch number in schema puts them in order.
+    """
+
+    def work(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        rows = frame.sort_values("__place").drop(columns=["__place", "__batch"])
+        return handler(int(key[0]), rows.reset_index(drop=True))
+
+    numbered = place_in_order(df, order, width).withColumn("__batch", F.expr(f"__place div {batch}"))
+    return numbered.groupBy("__batch").applyInPandas(work, schema)
+
+
+def reduced(rows: DataFrame, key: str, order: list[str], handler: Callable[[object, pd.DataFrame, int, str | None], pd.DataFrame], schema: str, limit: int = GROUP_RECORDS) -> DataFrame:
+    """handler(key, records, chunk, token) for each key, on executors, in chunks of at most limit records.
+
+    token names the continuation and is None on a key's last chunk; so no key,
+    however frequent, has to fit a task. Null keys are a group.
+    """
+
+    def work(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        token = frame["token"].iloc[0]
+        records = frame.sort_values(order).drop(columns=["chunk", "token"]).reset_index(drop=True)
+        return handler(group[0], records, int(group[1]), token)
+
+    return with_continuation(rows, key, order, limit).groupBy(key, "chunk").applyInPandas(work, schema)
+
+
 class Operation:
     """An authored operation: a literal statement over one table, run and reduce."""
 
@@ -130,7 +161,7 @@ class Context:
         self._keys += len(keys)
         if self._keys > self.budgets.nested_keys:
             raise BudgetExceeded("too many keys looked up")
-        return self.telemetry.timed("lookup", lambda: lookup(self.tables[table], keys, allowed))
+        return self.telemetry.timed("lookup", lambda: lookup(self.tables[table], keys, allowed), lambda rows: sum(len(json.dumps(r.asDict(), default=str)) for r in rows))
 
     def out(self, rows: list) -> dict:
         return self.output.push(rows)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import deque
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,6 +88,52 @@ def as_of(changes: DataFrame, key: list[str], stamp: str, at: Column, operation:
     return apply_changes(changes.where(F.col(stamp) <= at), key, stamp, operation=operation)
 
 
+class EventBuffer:
+    """Change events held on the driver until a subscriber takes them: at most capacity, the oldest drop out.
+
+    Of a table in coalesced only the newest event of each key is held, in the
+    newest one's place. recent has the last events seen, sent or not.
+    """
+
+    def __init__(self, key: str, coalesced: frozenset[str] | set[str] = frozenset(), capacity: int = 1000, recent: int = 256):
+        self.key, self.coalesced, self.capacity, self.dropped = key, coalesced, capacity, 0
+        self.recent: deque = deque(maxlen=recent)
+        self._held: dict[tuple, dict] = {}
+        self._number = 0
+
+    def __len__(self) -> int:
+        return len(self._held)
+
+    def put(self, event: dict) -> bool:
+        """Hold an event; false if an older one had to go."""
+        self.recent.append(event)
+        self._number += 1
+        value = event.get("data", {}).get(self.key)
+        place = (event["table"], value) if event["table"] in self.coalesced and value is not None else (self._number,)
+        self._held.pop(place, None)
+        full = len(self._held) >= self.capacity
+        if full:
+            del self._held[next(iter(self._held))]
+            self.dropped += 1
+        self._held[place] = event
+        return not full
+
+    def replay(self, send: Callable[[dict], None], delivered: set | None = None) -> int:
+        """Send what is held, in order, each event once; after an error the event and those behind it stay held."""
+        seen = set() if delivered is None else delivered
+        sent = 0
+        while self._held:
+            place, event = next(iter(self._held.items()))
+            identity = event["table"], event["operation"], event.get("data", {}).get(self.key), event["timestamp"]
+            if identity not in seen:
+                send(event)
+                seen.add(identity)
+                sent += 1
+            if self._held.get(place) is event:
+                del self._held[place]
+        return sent
+
+
 def start_merge(stream: DataFrame, snapshots, key: list[str], stamp: str, checkpoint: str, operation: str = "operation", **trigger):
     """Keep a versioned table (operators.dml.Snapshots) merged with a stream of changes.
 

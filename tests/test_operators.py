@@ -129,3 +129,16 @@ def test_movement(spark):
     assert store.publish("x", [1]) == 1 and store.publish("x", [2]) == 2 and store.use("x").value == [2] and store.delete("x") and "x" not in store
     with pytest.raises(ValueError):
         store.publish("y", "z" * 200)
+
+
+def test_numeric_aware_sort_and_chunk_statistics(spark):
+    df = spark.createDataFrame([(v,) for v in ("10", "9", "b", None, "-1.5", "a", "9")], "v string")
+    order = [r.v for r in df.orderBy(*aggregates.numeric_aware("v")).collect()]
+    assert order == ["-1.5", "9", "9", "10", "a", "b", None]
+    assert [r.v for r in df.orderBy(*aggregates.numeric_aware("v", True)).collect()] == [*reversed(order[:-1]), None]
+    stats = aggregates.ChunkStats(3)
+    for rows, chunks in ((df, 3), (df.limit(0), 0)):
+        assert stats.watch(rows).groupBy().count().first()[0] == rows.count()
+        got = stats.get()
+        assert got["total_rows"] == rows.count() and got["chunk_count"] == chunks and (got["estimated_bytes"] > 0) == (chunks > 0)
+        stats.reset()

@@ -1,8 +1,10 @@
+from datetime import datetime
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lakeloom.plans import diagnostics, dialect, pruning, statements
+from lakeloom.plans import diagnostics, dialect, logs, pruning, statements
 from lakeloom.plans.classifier import classify
 from lakeloom.plans.params import bind
 from lakeloom.sources.tables import table
@@ -110,3 +112,16 @@ def test_statements_that_change_a_table(spark):
     for bad in ("UPDATE t SET id = 1", "ALTER TABLE t DROP COLUMN id", "SELECT 1", "INSERT INTO t (z) VALUES (1)", "CREATE INDEX i ON t (z)", "INSERT INTO t (id) VALUES (1, 2)"):
         with pytest.raises(ValueError):
             do(bad)
+
+
+def test_log_search():
+    now = datetime(2024, 3, 1, 12)
+    assert logs.since("-15m", now) == datetime(2024, 3, 1, 11, 45) and logs.since("-2D", now).day == 28 and logs.since("2024-01-01", now).year == 2024
+    with pytest.raises(ValueError):
+        logs.since("-15w", now)
+    assert logs.LogSearch().statement() == ("SELECT * FROM logs ORDER BY timestamp DESC, created_at DESC, log_id DESC LIMIT 200", [])
+    search = logs.LogSearch(equal=(("level", "ERROR"), ("node_id", None)), start=now, contains="it's")
+    sql, values = search.statement()
+    assert " WHERE level = ?1 AND timestamp >= ?2 AND message LIKE ?3 ORDER" in sql and values == ["ERROR", "2024-03-01 12:00:00", "%it's%"]
+    assert search.live().startswith("LIVE SELECT") and "message LIKE '%it''s%' ORDER" in search.live() and "?" not in search.live()
+    assert diagnostics.call_report(["SELECT a FROM t WHERE k = ?", "SELECT a FROM t"]) == {"bounded": 1, "rejected": 1, "statements": ["SELECT a FROM t"]}

@@ -1,9 +1,11 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lakeloom.operators.movement import place_in_order
 from lakeloom.runtime import budgets as b
-from lakeloom.runtime.operation import Operation, Registry, distributed, run
-from lakeloom.streaming import hlc, live
+from lakeloom.runtime.operation import Operation, Registry, distributed, reduced, run, staged
+from lakeloom.streaming import cdc, hlc, live
 
 
 def _count(rows, args, emit):
@@ -124,3 +126,61 @@ def test_stream_gives_the_batch_twins_events(spark, tmp_path):
         assert {(r.at, r.event) for r in spark.table("live_out").collect()} == want
     finally:
         q.stop()
+
+
+def test_stages_and_reductions_run_beside_the_data(spark):
+    keys = [None, -5, -5, *range(0, 30000, 7), 9 * 10**12]
+    df = spark.createDataFrame([(k, "x") for k in keys], "k long, batch string").repartition(5)
+    placed = {r["__place"]: r.k for r in place_in_order(df, "k", 64).collect()}
+    assert [placed[i] for i in range(len(keys))] == keys
+
+    def handler(batch, rows):
+        return pd.DataFrame({"batch": [batch], "n": [len(rows)], "low": [rows["k"].min()]})
+
+    got = sorted(tuple(r) for r in staged(df, "k", handler, "batch long, n long, low double", 500).collect())
+    assert [r[:2] for r in got] == [(i, min(500, len(keys) - 500 * i)) for i in range(-(-len(keys) // 500))] and got[1][2] == keys[500]
+    assert staged(df.limit(0), "k", handler, "batch long, n long, low double").count() == 0
+
+    def reduce(key, records, chunk, token):
+        return pd.DataFrame({"key": [key], "chunk": [chunk], "n": [len(records)], "token": [token]})
+
+    rows = spark.createDataFrame([("a", i) for i in range(25)] + [(None, 1)], "key string, i long")
+    found = reduced(rows, "key", ["i"], reduce, "key string, chunk long, n long, token string", 10).collect()
+    assert {tuple(r) for r in found} == {("a", 0, 10, "a-chunk-0"), ("a", 1, 10, "a-chunk-1"), ("a", 2, 5, None), (None, 0, 1, None)}
+
+
+def test_access_counts_and_telemetry(spark):
+    counts = b.AccessCounts()
+    for service, parts, kind in (("s", ["p", "q"], "read"), ("s", ["p"], "write"), ("", ["p"], "read"), ("s", ["p", ""], "look")):
+        counts.record(service, parts, kind)
+    held = counts.snapshot()
+    assert not counts.counts and sum(held.values()) == 3
+    counts.record("s", ["p"], "read")
+    counts.merge(held)
+    counts.merge(None)
+    assert [tuple(r) for r in counts.frame(spark).collect()] == [("s", "p", 2, 1), ("s", "q", 1, 0)]
+    seen = b.Telemetry()
+    assert seen.timed("lookup", lambda: "four", len) == "four" and seen.seen["lookup"][:2] == [1, 4]
+
+
+def test_event_buffer():
+    held = cdc.EventBuffer("id", {"nodes"}, 3)
+
+    def event(table, key, stamp):
+        return {"table": table, "operation": "UPDATE", "data": {"id": key}, "timestamp": stamp}
+
+    assert all(held.put(event(*e)) for e in (("nodes", 1, 1), ("t", 1, 2), ("nodes", 1, 3), ("t", 1, 4))) and len(held) == 3
+    assert not held.put(event("t", 2, 5)) and held.dropped == 1 and len(held.recent) == 5
+    sent = []
+
+    def send(e):
+        if e["timestamp"] == 4 and len(sent) == 1:
+            sent.append(None)
+            raise OSError
+        sent.append(e["timestamp"])
+
+    with pytest.raises(OSError):
+        held.replay(send)
+    assert sent == [3, None] and len(held) == 2
+    held.put(event("t", 2, 5))  # again: sent once
+    assert held.replay(send) == 2 and sent == [3, None, 4, 5] and len(held) == 0
