@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Encoded pieces, and their ids, that a task keeps; beyond either the half that wasn't used for longest goes.
-CACHE_PIECES, CACHE_IDS = 500_000, 4_000_000
+CACHE_PIECES, CACHE_IDS = 800_000, 4_000_000
 #: Longest piece that is kept.
 CACHE_CHARS = 64
 #: Pieces that are encoded in one text.
@@ -118,6 +118,9 @@ class Encoder:
         # Pieces without white space are encoded in one text, behind spaces or line feeds, and told apart by their bytes.
         led, bare, alone = [], [], []
         for p in plain:
+            if p.isalnum():
+                led.append(p)
+                continue
             (alone if len(p.split()) != 1 or p[-1].isspace() or p[1:2].isspace() else bare if p[0] == "\0" else led).append(p)
         for some, gap in ((led, " "), (bare, "\n")):
             for at in range(0, len(some), JOINED_PIECES):
@@ -151,13 +154,13 @@ class Encoder:
 
     def _forget(self) -> None:
         """Keep the half of the pieces that was used last."""
-        least = np.median(self.last[: self.held.n])
-        left = [(p, k) for p, k in self.number.items() if self.last[k] > least and len(p) <= CACHE_CHARS]
-        old, last, block = self.held, self.last, self.block
+        n, old, last, block = self.held.n, self.held, self.last, self.block
+        # Pieces stand in the dictionary in the order of their numbers.
+        stays = (last[:n] > np.median(last[:n])) & (np.fromiter(map(len, self.number), np.int64, n) <= CACHE_CHARS)
+        left = list(compress(self.number, stays.tolist()))
         self._clear()
         if left:
-            at = np.array([k for _, k in left], np.int64)
-            self._keep([p for p, _ in left], *old.take(at))
+            self._keep(left, *old.take(at := np.flatnonzero(stays)))
             self.last = last[at]
         self.block = block
 
@@ -183,8 +186,9 @@ class Encoder:
         numbers = np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
         fresh = np.flatnonzero(numbers < 0)
         if len(fresh):
-            self._learn([pieces[k] for k in fresh.tolist()])
-            numbers[fresh] = [self.number[pieces[k]] for k in fresh.tolist()]
+            new = [pieces[k] for k in fresh.tolist()]
+            self._learn(new)
+            numbers[fresh] = np.fromiter(map(self.number.__getitem__, new), np.int64, len(new))
             while len(self.last) < self.held.n:
                 self.last = np.concatenate([self.last, np.zeros_like(self.last)])
         self.last[numbers] = self.block
