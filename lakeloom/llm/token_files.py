@@ -36,6 +36,8 @@ BLOCK_IDS = 1 << 18
 #: Bytes of text encoded at once.
 ENCODE_BYTES = 1 << 22
 ZSTD_LEVEL = 1
+#: Encoded pieces that a worker keeps, about 200 bytes each; this step's workers hold little else.
+KEPT_PIECES = 1_500_000
 END_ID = 0
 
 BLOCK_SCHEMA = (
@@ -70,7 +72,7 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     # Only ids are sampled for the ranges; texts move once.
     ordered = df.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     id_type = df.schema["doc_id"].dataType.simpleString()
-    encoder = OncePerWorker(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
+    encoder = OncePerWorker(f"encoder {tokenizer} {KEPT_PIECES}", lambda: Encoder(tokenizer, KEPT_PIECES))
     end = np.array([end_id], np.uint32)
     schema = BLOCK_SCHEMA.format(id=id_type)
     arrow = DataFrameSchema(schema)

@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Encoded pieces, and their ids, that a task keeps; beyond either the half that wasn't used for longest goes.
-CACHE_PIECES, CACHE_IDS = 800_000, 4_000_000
+#: Encoded pieces that a worker keeps unless it is told otherwise, and ids for each; beyond either the half that wasn't used for longest goes.
+CACHE_PIECES, IDS_PER_PIECE = 500_000, 8
 #: Longest piece that is kept.
 CACHE_CHARS = 64
 #: Pieces that are encoded in one text.
@@ -87,7 +87,8 @@ class _Ragged:
 class Encoder:
     """Texts to unsigned 32-bit ids; lives on a worker."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, keep: int = CACHE_PIECES):
+        self.keep = keep
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -166,7 +167,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if self.held.n > CACHE_PIECES or self.held.used > CACHE_IDS:
+        if self.held.n > self.keep or self.held.used > IDS_PER_PIECE * self.keep:
             self._forget()
         self.block += 1
         out = [np.zeros(0, np.uint32)] * len(texts)
