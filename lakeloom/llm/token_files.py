@@ -37,7 +37,7 @@ BLOCK_IDS = 1 << 18
 ENCODE_BYTES = 1 << 22
 ZSTD_LEVEL = 1
 #: Encoded pieces that a worker keeps, about 200 bytes each; this step's workers hold little else.
-KEPT_PIECES = 1_500_000
+KEPT_PIECES = 800_000
 END_ID = 0
 
 BLOCK_SCHEMA = (

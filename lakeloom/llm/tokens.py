@@ -87,8 +87,8 @@ class _Ragged:
 class Encoder:
     """Texts to unsigned 32-bit ids; lives on a worker."""
 
-    def __init__(self, path: str | None = None, keep: int = CACHE_PIECES):
-        self.keep = keep
+    def __init__(self, path: str | None = None, keep: int | None = None):
+        self.keep = CACHE_PIECES if keep is None else keep
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
