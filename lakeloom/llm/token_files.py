@@ -36,7 +36,7 @@ BLOCK_IDS = 1 << 18
 #: Bytes of text encoded at once.
 ENCODE_BYTES = 1 << 22
 ZSTD_LEVEL = 1
-#: Encoded pieces that a worker keeps, about 200 bytes each; this step's workers hold little else.
+#: Encoded pieces that a worker keeps, under 100 bytes each; this step's workers hold little else.
 KEPT_PIECES = 800_000
 END_ID = 0
 

@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from lakeloom.llm import token_files as files
@@ -34,6 +36,37 @@ def test_forgotten_pieces_are_learnt_again(monkeypatch):
     assert encoder.held.n < 500
 
 
+def test_words_and_marks_give_the_ids_of_whole_texts(monkeypatch):
+    monkeypatch.setattr(tokens, "JOINED_PIECES", 3)
+    monkeypatch.setattr(tokens, "GATHERED_PIECES", 7)
+    rng = random.Random(3)
+    # Letters, signs among them, letters beyond those of long standing, digits, white space that isn't a space, marks.
+    letters = "aZéÀÖ×ØöøÿĀɏɐɿʀͰжﬁªºµ²½"
+    marks = ["", ".", ",", ",&&&", "...", "'s", "'", ")", "\u00a0", "\u0085", "\u3000", "\t", "7", "|>", "\"", "\x7f", "…"]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(5))) + rng.choice(marks) for _ in range(3000)]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", " ", "\n"]) for _ in range(rng.randrange(12))).strip(" ") for _ in range(2000)]
+    texts += ["", ".", "\n", "a", "a.", "×.", "÷,", "ÿ!", "! !", "a\n.", ". a.", " ".join(words)]
+    encoder, expected = tokens.Encoder(), whole(texts)
+    for size in (1, 40, len(texts)):
+        got = [ids.tolist() for at in range(0, len(texts), size) for ids in encoder.encode(texts[at : at + size])]
+        assert got == expected
+
+
+def test_kept_pieces_take_little_memory():
+    """A worker keeps as many pieces as its memory holds: 100 bytes each at most, and nothing for marks behind known words."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("etaoin") for _ in range(9)) for _ in range(30_000)]
+    encoder = tokens.Encoder()
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    encoder.encode([" ".join(words)])
+    n, taken = encoder.held.n, tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert n >= 29_000 and taken < 100 * n
+    encoder.encode([" ".join(w + "," for w in words)])
+    assert encoder.held.n < n + 5
+
+
 def test_planes_round_trip():
     ids = np.random.default_rng(2).integers(0, 2**32, 1001).astype("<u4")
     for bits in (False, True):
